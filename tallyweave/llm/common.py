@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +97,23 @@ def gapless(df: DataFrame, group: list[str], spread: Column, order: list[Column]
     same = reduce(lambda x, y: x & y, (ranked[c].eqNullSafe(shifts[c]) for c in [*group, part]))
     keep = [ranked[c] for c in df.columns]
     return ranked.join(shifts, same).select(*keep, (ranked[name] + shifts[shift]).alias(name))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys (not null) in rows that come sorted by them, one table a run."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        change = np.zeros(held.num_rows - 1, bool)
+        for k in keys:
+            c = held[k].to_numpy()
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield held.slice(a, b - a)
+        held = held.slice(cuts[-1])
+    if held is not None:
+        yield held
