@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -212,24 +212,24 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, wide: int = WIDE) -> DataF
     return sorted_.mapInArrow(lambda it: _search(it, max_bits), "a long, b long")
 
 
+def _classes(prints: DataFrame, first: Column, max_bits: int) -> DataFrame:
+    """(fp, first): for each fingerprint of prints the least `first` in its class."""
+    nodes = prints.groupBy("fp").agg(F.min(first).alias("own")).checkpoint()
+    found = components(nodes.select(F.col("fp").alias("id")), links(nodes.select("fp", F.col("fp").alias("node")), max_bits))
+    per = nodes.join(found, nodes["fp"] == found["id"]).select("fp", "own", "component_id")
+    least = per.groupBy("component_id").agg(F.min("own").alias("first"))
+    return per.join(least, "component_id").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """Per row of docs: (id, fp, component_id): fingerprint, and the smallest id that links of at most max_bits reach.
 
     Texts without words have fingerprint 0 and link like others; so do null texts. Equal fingerprints are one vertex
-    and are never paired. Rows with a null id keep their fingerprint, take the component of others with a linked
-    one, and give it no id: where none has an id, component_id is null. Repeated rows stay.
+    and are never paired. A null id is never a component's; where a class has no other, component_id is null.
+    Repeated rows stay, and rows with one id and several texts have a row and a class for each.
     """
     prints = stored(docs.select(F.col(id_col).cast("long").alias("id"), simhash(F.col(text_col)).alias("fp")))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("node")).checkpoint()
-    # A vertex is named by its smallest id; one without ids by a negative name that no document has.
-    named = nodes.withColumn("name", F.coalesce(F.col("node"), -F.shiftrightunsigned(F.xxhash64("fp"), 2) - (1 << 62)))
-    joined = links(named.select("fp", F.col("name").alias("node")), max_bits)
-    found = components(named.select(F.col("name").alias("id")), joined)
-    # Names below zero stand for no document: the least real id of the component replaces them.
-    per = named.join(found, named["name"] == found["id"]).select("fp", "node", "component_id")
-    least = per.groupBy("component_id").agg(F.min("node").alias("least"))
-    classes = per.join(least, "component_id").select("fp", F.col("least").alias("component_id"))
-    return prints.join(classes, "fp").select("id", "fp", "component_id")
+    return prints.join(_classes(prints, F.col("id"), max_bits), "fp").select("id", "fp", F.col("first").alias("component_id"))
 
 
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,11 +239,14 @@ def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each class: the one with its smallest id (rows without id stay).
+    """One row of each class of docs, with its columns: the one of the smallest doc_id (null last), then text hash.
 
-    Of rows that repeat a kept id one stays. Columns are those of docs.
+    Of rows equal in doc_id and text one stays.
     """
-    name, own = scratch("class"), scratch("id")
-    kept = near_duplicates(docs, max_bits=max_bits).where("id = component_id").select(F.col("id").alias(own)).distinct()
-    whole = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col(own), "left_semi")
-    return whole.unionByName(docs.where("doc_id is null")).drop(name)
+    h, number, own_id, own_h = (scratch(x) for x in ("hash", "number", "id", "own"))
+    marked = docs.withColumn(h, F.xxhash64(F.col("text")))
+    prints = stored(marked.select(F.col("doc_id").cast("long").alias("id"), F.col(h).alias("h"), simhash(F.col("text")).alias("fp")))
+    kept = _classes(prints, F.struct(F.col("id").isNull().alias("last"), "id", "h"), max_bits).select(F.col("first.id").alias(own_id), F.col("first.h").alias(own_h)).distinct()
+    one = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(h) == F.col(own_h)), "left_semi")
+    order = Window.partitionBy("doc_id", h).orderBy(F.lit(1))
+    return one.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ from .common import scratch, stored, table
 from .labels import TOXIC_ROWS, labelled
 
 CATEGORIES = ("insult", "abuse", "toxic")
-FEATURES, LEAST_ROWS, FOLDS, ABUSE = 512, 4, 3, 4
+FEATURES, LEAST_ROWS, FOLDS, ABUSE = 128, 4, 3, 4
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"\w+")
 
@@ -66,7 +66,7 @@ class Vocabulary:
         return x
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.03, rounds: int = 15) -> np.ndarray:
     """Weights, the intercept last, of a ridge logistic regression by Newton steps."""
     x = np.c_[x, np.ones(len(x))].astype(np.float64)
     ridge = np.full(x.shape[1], penalty)
