@@ -18,6 +18,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,69 +59,80 @@ def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
     return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], words_only: bool) -> Iterator[pa.RecordBatch]:
-    """(block, words), or else (block, docs, lengths, codes)."""
-    press = zstandard.ZstdCompressor(3)
-    docs, lengths, codes, words, chars, name = [], [], [], {}, 0, xxhash.xxh3_64()
-
-    def block() -> pa.RecordBatch:
-        raw, names = np.concatenate(codes), list(words)
-        # Frequent words get small numbers and the rest go by the alphabet, so that both press well.
-        count = np.bincount(raw, minlength=len(names)).tolist()
-        order = sorted(range(len(names)), key=lambda i: (-count[i], names[i]))
-        key = pa.array([name.intdigest() - (1 << 63)])
-        if words_only:
-            return pa.RecordBatch.from_arrays([key, pa.array([[names[i] for i in order]], pa.list_(pa.string()))], ["block", "words"])
+def _pressed(*parts: np.ndarray) -> bytes:
+    """Numbers as planes of equal-valued bytes, which press better than the numbers do."""
+    return zstandard.ZstdCompressor(3).compress(b"".join(p.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(block, docs, lengths, codes); or, with parts, (part, block, n, at, words): a block's words dealt to parts."""
+    docs, lengths, words, chars, name = [], [], [], 0, xxhash.xxh3_64()
+
+    def block() -> Iterator[pa.RecordBatch]:
+        names = list(dict.fromkeys(words))
+        raw = np.fromiter(map(dict(zip(names, range(len(names)), strict=True)).__getitem__, words), "<u4", len(words))
+        # Frequent words get small numbers.
+        order = np.argsort(-np.bincount(raw, minlength=len(names)), kind="stable")
+        key = name.intdigest() - (1 << 63)
+        if parts:
+            coded = [names[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+            part = np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % parts
+            at = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, part[at][1:] != part[at][:-1], True]) if len(at) else np.array([0])
+            rows = []
+            for s, e in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                mine = at[s:e]
+                some = [coded[i] for i in mine.tolist()]
+                gaps = np.diff(mine, prepend=0)
+                rows.append((int(part[mine[0]]), key, len(mine), _pressed(gaps), zstandard.ZstdCompressor(3).compress(_pressed_words(some))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "n", "at", "words"])
+            return
         number = np.empty(len(names), "<u4")
         number[order] = np.arange(len(names))
-        planes = number[raw].view(np.uint8).reshape(-1, 4).T.tobytes()  # equal bytes together press better
-        return pa.RecordBatch.from_arrays([key, pa.array([np.array(docs, "<i8").tobytes()]), pa.array([np.array(lengths, "<u4").tobytes()]), pa.array([press.compress(planes)])], ["block", "docs", "lengths", "codes"])
+        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([np.array(docs, "<i8").tobytes()]), pa.array([np.array(lengths, "<u4").tobytes()]), pa.array([_pressed(number[raw])])], ["block", "docs", "lengths", "codes"])
 
     for batch in batches:
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            text = text.as_py()
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             if chars and chars + len(text) > BLOCK_CHARS:
-                yield block()
-                docs, lengths, codes, words, chars, name = [], [], [], {}, 0, xxhash.xxh3_64()
+                yield from block()
+                docs, lengths, words, chars, name = [], [], [], 0, xxhash.xxh3_64()
             own = words_of(text)
             docs.append(NO_ID if doc is None else doc)
             lengths.append(len(own))
-            codes.append(np.fromiter((words.setdefault(w, len(words)) for w in own), "<u4", len(own)))
+            words += own
             chars += len(text)
-            name.update(b"%d:" % len(text) + text.encode())
+            name.update(b"%d:" % len(text) + text.encode("utf-8", "surrogatepass"))
     if docs:
-        yield block()
+        yield from block()
 
 
-def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, block, at, words): the words of each block that fall to each part, and their numbers in the block."""
-    for batch in batches:
-        for block, words in zip(batch["block"].to_pylist(), batch["words"], strict=True):
-            words = words.values
-            part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words.to_pylist()), np.int64, len(words))
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True]) if len(part) else np.array([0])
-            spans = list(zip(cuts, cuts[1:], strict=False))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(part[order[a]]) for a, _ in spans], pa.int64()), pa.array([block] * len(spans), pa.int64()), pa.array([order[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()), pa.array([words.take(pa.array(order[a:b])) for a, b in spans], pa.list_(pa.string()))],
-                ["part", "block", "at", "words"],
-            )
+def _pressed_words(words: list[bytes]) -> bytes:
+    return np.fromiter(map(len, words), "<u4", len(words)).view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(words)
+
+
+def _words(raw: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum(_unplane(raw[: 4 * n]), dtype=np.int64).tolist()
+    text = raw[4 * n :]
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(block, at, sizes, ids) for every row of a part, each distinct word of the part encoded once."""
-    tokenizer, press = load(path), zstandard.ZstdCompressor(3)
+    """(block, n, packed) for every row of a part, each distinct word of the part encoded once."""
+    tokenizer, press = load(path), zstandard.ZstdDecompressor()
     for part in runs(batches, ["part"]):
-        words = pa.chunked_array(part["words"]).combine_chunks().values.dictionary_encode()
-        ids = [e.ids for s in range(0, len(words.dictionary), 4096) for e in tokenizer.encode_batch_fast(words.dictionary[s : s + 4096].to_pylist(), add_special_tokens=False)]
-        at = 0
-        for block, places in zip(part["block"].to_pylist(), part["at"].to_pylist(), strict=True):
-            mine = [ids[k] for k in words.indices[at : at + len(places) // 4].to_pylist()]
-            at += len(mine)
-            sizes = np.array([len(x) for x in mine], "<u4")
-            flat = np.fromiter((i for x in mine for i in x), "<u4", int(sizes.sum()))
-            packed = press.compress(places + sizes.view(np.uint8).reshape(-1, 4).T.tobytes() + flat.view(np.uint8).reshape(-1, 4).T.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(mine)], pa.int64()), pa.array([packed], pa.binary())], ["block", "n", "packed"])
+        rows = [_words(press.decompress(w), n) for w, n in zip(part["words"].to_pylist(), part["n"].to_pylist(), strict=True)]
+        known: dict[bytes, np.ndarray] = dict.fromkeys(w for r in rows for w in r)
+        names = list(known)
+        for s in range(0, len(names), 4096):
+            some = names[s : s + 4096]
+            found = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
+            known.update((w, e.ids) for w, e in zip(some, found, strict=True))
+        for block, at, words in zip(part["block"].to_pylist(), part["at"].to_pylist(), rows, strict=True):
+            mine = list(map(known.__getitem__, words))
+            sizes = np.fromiter(map(len, mine), "<u4", len(mine))
+            ids = np.fromiter(chain.from_iterable(mine), "<u4", int(sizes.sum()))
+            packed = _pressed(sizes, ids)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(mine)], pa.int64()), pa.array([at], pa.binary()), pa.array([packed], pa.binary())], ["block", "n", "at", "packed"])
 
 
 def _unplane(raw: bytes) -> np.ndarray:
@@ -139,7 +151,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], finish: Callable) -> Iterator[p
             found = []
             for p in packs or []:
                 raw, n = press.decompress(p["packed"]), p["n"]
-                found.append((np.frombuffer(raw[: 4 * n], "<u4"), _unplane(raw[4 * n : 8 * n]), _unplane(raw[8 * n :])))
+                found.append((np.cumsum(_unplane(press.decompress(p["at"])), dtype=np.int64), _unplane(raw[: 4 * n]), _unplane(raw[4 * n :])))
             size = np.zeros(sum(len(f[0]) for f in found), np.int64)
             first = size.copy()
             base = 0
@@ -170,11 +182,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish: Callable, schema:
     before = spark.conf.get(name)
     spark.conf.set(name, "16")
     try:
-        asking = rows.mapInArrow(lambda it: _blocks(it, True), "block long, words array<string>")
-        blocks = rows.mapInArrow(lambda it: _blocks(it, False), "block long, docs binary, lengths binary, codes binary")
-        dealt = asking.mapInArrow(lambda it: _deal(it, parts), "part long, block long, at binary, words array<string>")
-        packs = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _encode(it, tokenizer), "block long, n long, packed binary")
-        asked = packs.groupBy("block").agg(F.collect_list(F.struct("n", "packed")).alias("packs"))
+        dealt = rows.mapInArrow(lambda it: _blocks(it, parts), "part long, block long, n long, at binary, words binary")
+        blocks = rows.mapInArrow(lambda it: _blocks(it, 0), "block long, docs binary, lengths binary, codes binary")
+        packs = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _encode(it, tokenizer), "block long, n long, at binary, packed binary")
+        asked = packs.groupBy("block").agg(F.collect_list(F.struct("n", "at", "packed")).alias("packs"))
         met = blocks.join(asked, "block", "left").select("docs", "lengths", "codes", "packs")
         return stored(met.mapInArrow(lambda it: _assemble(it, finish), schema))
     finally:

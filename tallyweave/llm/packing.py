@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gapless, stored, table, text_of
-from .tokens import WordEncoder, tokenizer_path
+from .tokens import tokenizer_path, word_encoder
 
 LENGTH = 2048
 END_ID = 1
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
