@@ -34,6 +34,8 @@ from .tokens import ODD, load, tokenizer_path
 SPACED_WORD = re.compile(r"\s*\S+|\s+")
 #: Characters of text in a block, and bytes of text for each part of the word shuffle.
 BLOCK_CHARS, PART_BYTES = 1 << 22, 1 << 24
+#: Words after which a block's documents go on in a further row.
+PIECE_WORDS = 1 << 16
 #: Stands for a null doc_id inside a block.
 NO_ID = -(1 << 63)
 
@@ -59,13 +61,22 @@ def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
     return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+ROW = "block long, kind int, seq int, n long, a binary, b binary, c binary"
+
+
+def row(*values) -> pa.RecordBatch:
+    """One row of ROW. Kind 0: the ids of n words (a: their numbers, b: sizes and ids); kind 1: documents (a: ids, b: lengths, c: words)."""
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["block", "kind", "seq", "n", "a", "b", "c"])
+
+
 def _pressed(*parts: np.ndarray) -> bytes:
     """Numbers as planes of equal-valued bytes, which press better than the numbers do."""
     return zstandard.ZstdCompressor(3).compress(b"".join(p.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(block, docs, lengths, codes); or, with parts, (part, block, n, at, words): a block's words dealt to parts."""
+    """ROW pieces of each block; or, with parts, (part, block, n, at, words): a block's words dealt to parts."""
     docs, lengths, words, chars, name = [], [], [], 0, xxhash.xxh3_64()
 
     def block() -> Iterator[pa.RecordBatch]:
@@ -89,7 +100,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             return
         number = np.empty(len(names), "<u4")
         number[order] = np.arange(len(names))
-        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([np.array(docs, "<i8").tobytes()]), pa.array([np.array(lengths, "<u4").tobytes()]), pa.array([_pressed(number[raw])])], ["block", "docs", "lengths", "codes"])
+        ids, sizes, ends, codes = np.array(docs, "<i8"), np.array(lengths, "<u4"), np.cumsum([0, *lengths]), number[raw]
+        cut = [0, *(np.flatnonzero(np.diff(ends[1:-1] // PIECE_WORDS)) + 1).tolist(), len(docs)]
+        for s, e in zip(cut, cut[1:], strict=False):
+            yield row(key, 1, s, 0, ids[s:e].tobytes(), sizes[s:e].tobytes(), _pressed(codes[ends[s] : ends[e]]))
 
     for batch in batches:
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -117,7 +131,7 @@ def _words(raw: bytes, n: int) -> list[bytes]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(block, n, packed) for every row of a part, each distinct word of the part encoded once."""
+    """A row of kind 0 for every row of a part, each distinct word of the part encoded once."""
     tokenizer, press = load(path), zstandard.ZstdDecompressor()
     for part in runs(batches, ["part"]):
         rows = [_words(press.decompress(w), n) for w, n in zip(part["words"].to_pylist(), part["n"].to_pylist(), strict=True)]
@@ -131,8 +145,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             mine = list(map(known.__getitem__, words))
             sizes = np.fromiter(map(len, mine), "<u4", len(mine))
             ids = np.fromiter(chain.from_iterable(mine), "<u4", int(sizes.sum()))
-            packed = _pressed(sizes, ids)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(mine)], pa.int64()), pa.array([at], pa.binary()), pa.array([packed], pa.binary())], ["block", "n", "at", "packed"])
+            yield row(block, 0, 0, len(mine), at, _pressed(sizes, ids), None)
 
 
 def _unplane(raw: bytes) -> np.ndarray:
@@ -140,32 +153,33 @@ def _unplane(raw: bytes) -> np.ndarray:
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], finish: Callable) -> Iterator[pa.RecordBatch]:
-    """Documents of each block: word numbers become ids by position."""
-    press = zstandard.ZstdDecompressor()
+    """Documents of rows that come sorted by block and kind: word numbers become ids by position."""
+    press, current, found, ready = zstandard.ZstdDecompressor(), None, [], None
     for batch in batches:
-        for row in range(batch.num_rows):
-            docs, lengths, codes, packs = (batch[c][row].as_py() for c in ("docs", "lengths", "codes", "packs"))
-            docs, lengths, codes = np.frombuffer(docs, "<i8"), np.frombuffer(lengths, "<u4").astype(np.int64), _unplane(press.decompress(codes)).astype(np.int64)
-            if len(codes) and not packs:
+        for block, kind, n, a, b, c in zip(*(batch[x].to_pylist() for x in ("block", "kind", "n", "a", "b", "c")), strict=True):
+            if block != current:
+                current, found, ready = block, [], None
+            if kind == 0:
+                raw = press.decompress(b)
+                found.append((np.cumsum(_unplane(press.decompress(a)), dtype=np.int64), _unplane(raw[: 4 * n]), _unplane(raw[4 * n :])))
+                continue
+            if ready is None:
+                size = np.zeros(sum(len(f[0]) for f in found), np.int64)
+                first, base = size.copy(), 0
+                for places, sizes, flat in found:
+                    size[places] = sizes
+                    first[places] = base + np.cumsum(sizes, dtype=np.int64) - sizes
+                    base += len(flat)
+                ready, found = (size, first, np.concatenate([f[2] for f in found]) if found else np.empty(0, "<u4")), []
+            size, first, ids = ready
+            docs, lengths, codes = np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4").astype(np.int64), _unplane(press.decompress(c))
+            if len(codes) and not len(size):
                 raise RuntimeError("the texts were not the same when they were read again")
-            found = []
-            for p in packs or []:
-                raw, n = press.decompress(p["packed"]), p["n"]
-                found.append((np.cumsum(_unplane(press.decompress(p["at"])), dtype=np.int64), _unplane(raw[: 4 * n]), _unplane(raw[4 * n :])))
-            size = np.zeros(sum(len(f[0]) for f in found), np.int64)
-            first = size.copy()
-            base = 0
-            for places, sizes, flat in found:
-                size[places] = sizes
-                first[places] = base + np.cumsum(sizes, dtype=np.int64) - sizes
-                base += len(flat)
-            ids = np.concatenate([f[2] for f in found]) if found else np.empty(0, "<u4")
             each = size[codes]
             ends = np.r_[0, np.cumsum(each)]
             out = ids[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
             cuts = ends[np.r_[0, np.cumsum(lengths)]]
-            for s in range(0, len(docs), 256):
-                yield finish(pa.array(docs[s : s + 256], mask=docs[s : s + 256] == NO_ID), [out[a:b] for a, b in zip(cuts[s : s + 256], cuts[s + 1 : s + 257], strict=False)])
+            yield finish(pa.array(docs, mask=docs == NO_ID), [out[s:e] for s, e in zip(cuts, cuts[1:], strict=False)])
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, finish: Callable, schema: str) -> DataFrame:
@@ -180,13 +194,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish: Callable, schema:
     parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "16")
+    spark.conf.set(name, "32")
     try:
         dealt = rows.mapInArrow(lambda it: _blocks(it, parts), "part long, block long, n long, at binary, words binary")
-        blocks = rows.mapInArrow(lambda it: _blocks(it, 0), "block long, docs binary, lengths binary, codes binary")
-        packs = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _encode(it, tokenizer), "block long, n long, at binary, packed binary")
-        asked = packs.groupBy("block").agg(F.collect_list(F.struct("n", "at", "packed")).alias("packs"))
-        met = blocks.join(asked, "block", "left").select("docs", "lengths", "codes", "packs")
+        blocks = rows.mapInArrow(lambda it: _blocks(it, 0), ROW)
+        packs = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _encode(it, tokenizer), ROW)
+        met = blocks.unionByName(packs).repartition(parts, "block").sortWithinPartitions("block", "kind")
         return stored(met.mapInArrow(lambda it: _assemble(it, finish), schema))
     finally:
         spark.conf.set(name, before)
