@@ -11,11 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 
-#: Rounds of components() after which its state is written.
-CUT_EVERY = 4
+#: Rows that components() puts in one file of a round's tables.
+PART_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,24 +56,26 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     nodes: one column `id` (unique, long); edges: `a`, `b` (long). Returns (id, component_id) with the smallest id
     of each component. In every round each vertex joins the neighbour (or itself) of the least pseudo-random
     priority, so a constant share of the remaining vertices disappears whatever the graph's shape; hubs are
-    reduced by map-side aggregation. A round's small tables are kept in memory or on disk and can be made again from
-    the ones before; every CUT_EVERY rounds, and at the end, they are written with checkpoint(). Nothing is collected.
+    reduced by map-side aggregation. Each round's tables are cut with checkpoint(), in as many files as their rows
+    ask for; nothing is collected but a row count a round.
     """
+    least_parts = nodes.sparkSession.sparkContext.defaultParallelism
     shared_dir(nodes.sparkSession)
     left = edges.where("a <> b").select("a", "b").checkpoint()
     maps: list[DataFrame] = []
     for k in range(max_rounds):
-        if left.isEmpty():
+        n = left.count()
+        if not n:
             break
+        parts = max(least_parts, -(-2 * n // PART_ROWS))
         rank = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("r"), c.alias("v"))
         both = left.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        into = both.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), F.min(rank(F.col("u"))))["v"].alias("to")).persist(StorageLevel.MEMORY_AND_DISK)
+        into = both.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), F.min(rank(F.col("u"))))["v"].alias("to")).coalesce(parts).checkpoint()
         maps.append(into)
         left = (
             left.join(into.select(F.col("u").alias("a"), F.col("to").alias("ta")), "a").join(into.select(F.col("u").alias("b"), F.col("to").alias("tb")), "b")
-            .where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+            .where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().coalesce(parts).checkpoint()
         )
-        left = left.checkpoint() if k % CUT_EVERY == CUT_EVERY - 1 else left.persist(StorageLevel.MEMORY_AND_DISK)
     else:
         raise RuntimeError("components: not contracted after max_rounds")
     # Vertices that were ever moved, with the vertex that stands for them at the end.
@@ -84,8 +85,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     for into in maps[1:]:
         moved = moved.join(into.select(F.col("u").alias("at"), "to"), "at", "left").select("id", F.coalesce("to", "at").alias("at"))
     moved = moved.checkpoint()
-    for into in maps:
-        into.unpersist()
     least = moved.groupBy("at").agg(F.min("id").alias("component_id"))
     named = moved.join(least, "at").select("id", "component_id")
     return nodes.join(named, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
