@@ -48,7 +48,7 @@ def choose_pivots(vectors: DataFrame, n: int, sample: int = PIVOT_SAMPLE, apart:
     rows = vectors.orderBy(F.xxhash64("embedding"), "node").limit(sample).collect()
     found = [np.asarray(r["embedding"], np.float64) for r in rows]
     width = len(found[0]) if found else 0
-    unit = np.array([v / np.linalg.norm(v) for v in found if len(v) == width]).reshape(-1, width)
+    unit = np.array([v / np.linalg.norm(v) for v in found if len(v) == width]) if found else np.zeros((0, 0))
     free, chosen = np.ones(len(unit), bool), []
     for i in range(len(unit)):
         if free[i] and len(chosen) < n:

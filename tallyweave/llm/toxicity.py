@@ -67,7 +67,9 @@ class Vocabulary:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.03, rounds: int = 15) -> np.ndarray:
-    """Weights, the intercept last, of a ridge logistic regression by Newton steps."""
+    """Weights, the intercept last, of a ridge logistic regression by Newton steps. Without a positive row all is near 0."""
+    if not y.any():
+        return np.r_[np.zeros(x.shape[1]), -8.0]
     x = np.c_[x, np.ones(len(x))].astype(np.float64)
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
