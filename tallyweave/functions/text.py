@@ -19,7 +19,8 @@ def normalize_basic(c: Column) -> Column:
 def normalize_enhanced(c: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
     """The basic letters in upper case, then every rule in order, each everywhere and whatever the case.
 
-    The rules stay native expressions, one `regexp_replace` each; those that are no valid pattern are left out.
+    The rules stay native expressions, one `regexp_replace` each; those that are no valid pattern are left out. The text
+    is in upper case before the first rule and patterns and replacements are too, so none needs to ignore the case.
     """
     def apply(text: Column, rule: tuple[str, str, str]) -> Column:
         _, pattern, with_ = rule
@@ -27,16 +28,24 @@ def normalize_enhanced(c: Column, rules: list[tuple[str, str, str]] | None = Non
             re.compile(pattern)
         except re.error:
             return text
-        return F.regexp_replace(text, f"(?i){pattern}", re.sub(r"\\(\d)", r"$\1", with_))
+        return F.regexp_replace(text, pattern, re.sub(r"\\(\d)", r"$\1", with_))
 
     return F.trim(F.regexp_replace(reduce(apply, RULES if rules is None else rules, F.upper(c)), r"\s+", " "))
 
 
 def edit_score(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length, of trimmed upper-case texts; 0 if either is null or blank."""
-    x, y = F.upper(F.trim(a)), F.upper(F.trim(b))
-    blank = a.isNull() | b.isNull() | (F.length(F.trim(a)) == 0) | (F.length(F.trim(b)) == 0)
-    return F.when(blank, 0.0).otherwise(F.lit(1.0) - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
+    return edit_of(plain(a), plain(b))
+
+
+def plain(c: Column) -> Column:
+    """The form in which texts are compared letter by letter; null for a blank text."""
+    return F.nullif(F.upper(F.trim(c)), F.lit(""))
+
+
+def edit_of(x: Column, y: Column) -> Column:
+    """The edit score of two texts in plain form."""
+    return F.coalesce(F.lit(1.0) - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)), F.lit(0.0))
 
 
 def tokens(c: Column) -> Column:

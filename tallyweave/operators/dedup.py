@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ def unique_descriptions(raw: DataFrame, norm: Column | None = None, status: str
     return rows.groupBy("norm").agg(F.min("raw_description").alias("sample"), F.count(F.lit(1)).alias("n_items"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
 
 
+def with_normal_form(raw: DataFrame, normalize: Callable[[Column], Column], text: str = "raw_description", name: str = "norm") -> DataFrame:
+    """raw with the normal form of its text, worked out once for each distinct text and joined back; null stays null.
+
+    For normal forms that cost more than a shuffle of the distinct texts, which are spread over all partitions.
+    """
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forms = raw.select(F.col(text).alias("__text")).where(F.col(text).isNotNull()).distinct().repartition(parts, "__text")
+    forms = forms.select("__text", normalize(F.col("__text")).alias(name))
+    return raw.join(forms, F.col(text) == F.col("__text"), "left").drop("__text")
+
+
 def lineage_map(raw: DataFrame, unique: DataFrame, mapped: DataFrame | None = None, norm: Column | None = None) -> DataFrame:
     """(item_id, unique_id, norm) of every raw row that has a unique description and is not mapped yet."""
     rows = raw.select("item_id", (normalize_basic(F.col("raw_description")) if norm is None else norm).alias("norm"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, edit_score, jaccard_of, normalize_basic, tokens
+from ..functions.text import cosine, edit_of, jaccard_of, normalize_basic, plain, tokens
 
 
 def eligible(items: DataFrame) -> DataFrame:
@@ -27,8 +27,13 @@ def batch_of(raw: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def pairs(items: DataFrame, catalog: DataFrame, score: Column, item_key: str, catalog_key: str, block: str) -> DataFrame:
-    """Every pair of a block with its score; the score may use any column of both sides."""
-    return items.join(catalog, block).select(item_key, catalog_key, score.alias("score"))
+    """Every pair of a block with its score; the score may use any column of both sides.
+
+    The catalog is spread over the shuffle partitions, by its key, so that pairs are scored by all cores even where
+    the items are few and broadcast and the catalog is one small file.
+    """
+    spread = catalog.repartition(int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")), catalog_key)
+    return items.join(spread, block).select(item_key, catalog_key, score.alias("score"))
 
 
 def best_of(scored: DataFrame, item_key: str, catalog_key: str) -> DataFrame:
@@ -43,7 +48,9 @@ def top_of(scored: DataFrame, item_key: str, catalog_key: str, k: int) -> DataFr
 
 
 def match_edit(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    return best_of(pairs(items, catalog, edit_score(F.col("norm"), F.col("description")), "norm", "std_id", "category"), "norm", "std_id")
+    """Both texts are brought to plain form once, before the join."""
+    left, right = items.withColumn("x", plain(F.col("norm"))), catalog.withColumn("y", plain(F.col("description")))
+    return best_of(pairs(left, right, edit_of(F.col("x"), F.col("y")), "norm", "std_id", "category"), "norm", "std_id")
 
 
 def match_jaccard(items: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def normalize_basic_query(t):
 
 @query(f"SELECT item_id, {_nested('upper(raw_description)')} AS norm FROM {{raw}}")
 def normalize_enhanced_query(t):
-    return t["raw"].select("item_id", normalize_enhanced(F.col("raw_description")).alias("norm"))
+    return dedup.with_normal_form(t["raw"].select("item_id", "raw_description"), normalize_enhanced).select("item_id", "norm")
 
 
 @query()
@@ -384,14 +384,15 @@ def stream_match(t):
 def harmonize(t, batch: int | None = None) -> DataFrame:
     """The whole run: deduplicate, match by four methods in the category, combine, vote, route, and fan out to items.
 
-    Vector similarity of descriptions stands on token-count vectors, as no embedding model is at hand.
+    Vector similarity of descriptions stands on token-count vectors, as no embedding model is at hand; so the search
+    already has the pair and the cosine, and neither is worked out twice.
     """
     raw, std = t["raw"], t["std"]
     items = matching.batch_of(raw, batch)
     search, edit, jaccard = matching.match_search(items, std), matching.match_edit(items, std), matching.match_jaccard(items, std)
     own = lambda df, m: df.select("norm", F.col("std_id").cast("string").alias(f"{m}_id"), F.col("score").alias(f"{m}_score"))
-    near = search.select("norm", "std_id", (F.col("score") * 2 - 1).alias("score"))
-    wide = own(search, "search").join(own(near, "cosine"), "norm").join(own(edit, "edit"), "norm").join(own(jaccard, "jaccard"), "norm").withColumn("item_id", F.col("norm"))
+    first = own(search, "search").select("*", F.col("search_id").alias("cosine_id"), (F.col("search_score") * 2 - 1).alias("cosine_score"))
+    wide = first.join(own(edit, "edit"), "norm").join(own(jaccard, "jaccard"), "norm").withColumn("item_id", F.col("norm"))
     scored = ensemble.ensemble(wide)
     routed = ensemble.route(scored).select(F.col("item_id").alias("norm"), "destination", "confidence", "reason").join(scored.select("norm", "suggested_id", "ensemble_score"), "norm")
     return raw.select("item_id", normalize_basic(F.col("raw_description")).alias("norm")).join(routed, "norm").select("item_id", "suggested_id", F.round("ensemble_score", 9).alias("ensemble_score"), "destination", "reason")

@@ -89,3 +89,49 @@ def test_pair_score_is_not_shuffled_before_it_is_reduced(spark, data):
     t = reconcile.tables(spark, data)
     plan = matching.match_edit(t["items"], t["std"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_search_pages(spark):
+    from tallyweave.operators.search import Search, found, page_of
+
+    rows = [(i, f"N{i % 5}", f"text {i}", "S1" if i % 2 else "S2", i / 20 if i != 7 else None, 1 + i % 3) for i in range(20)]
+    df = spark.createDataFrame(rows, "item_id int, norm string, raw_description string, source_system string, ensemble_score double, level int")
+    got = found(df, Search(filters={"source_system": "S1", "status": "All"}, sort_by="no_such")).collect()
+    assert [r["item_id"] for r in got] == [19, 17, 15, 13, 11] and all(r["duplicates"] == 2 for r in got)
+    flat = found(df, Search(grouped=False, text="TEXT 1", agreement=2))
+    assert [r["item_id"] for r in flat.collect()] == [19, 16, 13, 10, 1]
+    last, page, total = page_of(flat, 9, 2)
+    assert (page, total, [r["item_id"] for r in last.collect()]) == (3, 5, [1])
+
+
+def test_settings_and_rules(spark):
+    from tallyweave.operators import settings
+
+    have = spark.createDataFrame([("AUTO_ACCEPT_THRESHOLD", "0.555"), ("ODD", "x")], "config_key string, config_value string")
+    seeded = settings.seed(have, settings.default_settings(spark))
+    assert seeded.count() == len(settings.DEFAULTS) + 1 and settings.number(seeded, "AUTO_ACCEPT_THRESHOLD", 0) == 0.56
+    assert settings.number(seeded, "ODD", 0.6) == 0.6 and settings.number(seeded, "NONE", 0.6) == 0.6
+    rules = settings.add_rule(settings.toggle_rule(settings.rule_table(spark), "R000"), "R999", "typo", "A", "B")
+    assert rules.count() == 115 and rules.where("not is_active").count() == 1
+    got = settings.try_rules(spark.createDataFrame([("20 OZ",), ("PLAIN",)], "t string"), F.col("t")).collect()
+    assert [(r["normalized"], r["changed"]) for r in got] == [("20OZ", True), ("PLAIN", False)]
+
+
+def test_batches_and_steps(spark):
+    import datetime as dt
+
+    from tallyweave.operators import batches
+
+    raw = spark.createDataFrame([(1, "a", "A", "PENDING", 3), (2, "b", "A", "PENDING", 1), (3, "c", "A", "DONE", 0)], "item_id long, raw_description string, category string, status string, created_at int")
+    state = spark.createDataFrame([("B0", "ACTIVE")], "batch_id string, status string")
+    staging = batches.stage(spark.createDataFrame([(1,)], "item_id long"), spark.createDataFrame([(1,), (2,), (2,)], "item_id long"))
+    items, after, left = batches.prepare(raw, staging, state, "B1", 1)
+    assert [r["norm"] for r in items.collect()] == ["B"] and {tuple(r) for r in after.collect()} == {("B0", "COMPLETED"), ("B1", "ACTIVE")} and left.count() == 0
+    none, same, _ = batches.prepare(raw.where("status = 'DONE'"), staging, state, "B2")
+    assert none.isEmpty() and same.collect()[0]["status"] == "ACTIVE"
+    log = spark.createDataFrame([], "run_id string, step string, status string, at timestamp, items int")
+    t = dt.datetime(2024, 1, 1)
+    for step, status, s in (("a", "STARTED", 0), ("b", "STARTED", 1), ("a", "COMPLETED", 30)):
+        log = batches.log_step(log, "r", step, status, t + dt.timedelta(seconds=s))
+    assert {(r["step"], r["status"], r["seconds"]) for r in batches.steps(log).collect()} == {("a", "COMPLETED", 30), ("b", "RUNNING", None)}
+    assert batches.all_done(log, "r", ["a"]) and not batches.all_done(log, "r", ["a", "b"])
