@@ -56,26 +56,26 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     nodes: one column `id` (unique, long); edges: `a`, `b` (long). Returns (id, component_id) with the smallest id
     of each component. In every round each vertex joins the neighbour (or itself) of the least pseudo-random
     priority, so a constant share of the remaining vertices disappears whatever the graph's shape; hubs are
-    reduced by map-side aggregation. Each round's tables are cut with checkpoint(), in as many files as their rows
-    ask for; nothing is collected but a row count a round.
+    reduced by map-side aggregation. Each round's links and where their ends go are cut with one checkpoint(), in as
+    many files as the rows ask for; nothing is collected but a row count a round.
     """
     least_parts = nodes.sparkSession.sparkContext.defaultParallelism
     shared_dir(nodes.sparkSession)
     left = edges.where("a <> b").select("a", "b").checkpoint()
     maps: list[DataFrame] = []
+    n = left.count()
     for k in range(max_rounds):
-        n = left.count()
         if not n:
             break
-        parts = max(least_parts, -(-2 * n // PART_ROWS))
+        parts = max(least_parts, -(-n // PART_ROWS))
         rank = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("r"), c.alias("v"))
         both = left.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        into = both.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), F.min(rank(F.col("u"))))["v"].alias("to")).coalesce(parts).checkpoint()
-        maps.append(into)
-        left = (
-            left.join(into.select(F.col("u").alias("a"), F.col("to").alias("ta")), "a").join(into.select(F.col("u").alias("b"), F.col("to").alias("tb")), "b")
-            .where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().coalesce(parts).checkpoint()
-        )
+        into = both.groupBy("u").agg(F.least(F.min(rank(F.col("v"))), F.min(rank(F.col("u"))))["v"].alias("to"))
+        ends = left.join(into.select(F.col("u").alias("a"), F.col("to").alias("ta")), "a").join(into.select(F.col("u").alias("b"), F.col("to").alias("tb")), "b")
+        ends = ends.select("a", "b", "ta", "tb").coalesce(parts).checkpoint()
+        maps.append(ends.select(F.col("a").alias("u"), F.col("ta").alias("to")).unionByName(ends.select(F.col("b").alias("u"), F.col("tb").alias("to"))).distinct())
+        left = ends.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        n = left.count()
     else:
         raise RuntimeError("components: not contracted after max_rounds")
     # Vertices that were ever moved, with the vertex that stands for them at the end.
