@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -18,7 +19,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _sent or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(f"{folder}/tallyweave", "zip", ROOT, "tallyweave")
-        context.addPyFile(archive)
+    # Executors fetch the archive from the driver when they need it, so it stays until the driver ends.
+    folder = tempfile.mkdtemp(prefix="tallyweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/tallyweave", "zip", ROOT, "tallyweave"))
     _sent.add(context.applicationId)
