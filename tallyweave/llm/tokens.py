@@ -19,7 +19,7 @@ SPACED_WORD = regex.compile(r"\s*\S+|\s+")
 #: Code points that Python's str.split() takes for white space and Unicode does not.
 ODD = regex.compile("[\x1c-\x1f]")
 #: Distinct words that an encoder keeps.
-KEPT = 400_000
+KEPT = 600_000
 
 
 def tokenizer_path(name: str) -> str:
