@@ -80,13 +80,17 @@ def normalize_enhanced_query(t):
     return dedup.with_normal_form(t["raw"].select("item_id", "raw_description"), normalize_enhanced).select("item_id", "norm")
 
 
-@query()
+_sql = lambda x: "'" + x.replace("'", "''") + "'"
+_RULE_ROWS = "(VALUES " + ", ".join(f"({i}, {_sql(k)}, {_sql(p)}, {_sql(w)}, {PRIORITIES[k]})" for i, (k, p, w) in enumerate(RULES)) + ") AS r(place, kind, pattern, with_, priority)"
+
+
+@query(f"SELECT kind, count(*) AS n, min(priority) AS priority, count(DISTINCT pattern) AS n_patterns FROM {_RULE_ROWS} GROUP BY kind")
 def rule_stats(t):
     rows = t.spark.createDataFrame([(k, p, w, PRIORITIES[k]) for k, p, w in RULES], "kind string, pattern string, with_ string, priority int")
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("priority").alias("priority"), F.countDistinct("pattern").alias("n_patterns"))
 
 
-@query()
+@query(f"SELECT cast(to_json(list({{'place': place, 'kind': kind, 'pattern': pattern, 'with_': with_}} ORDER BY place)) AS varchar) AS rules FROM {_RULE_ROWS}")
 def rules_export(t):
     rows = t.spark.createDataFrame([(i, k, p, w) for i, (k, p, w) in enumerate(RULES)], "place int, kind string, pattern string, with_ string")
     return rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct("place", "kind", "pattern", "with_")))).alias("rules"))
