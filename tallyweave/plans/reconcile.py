@@ -373,14 +373,21 @@ def stream_counts(t):
 
 @query()
 def stream_match(t):
-    """Items arrive in files and are matched by edit distance as they come."""
+    """Items arrive in files and are matched by cosine (of token counts) and edit distance as they come.
+
+    The suggestion (std_id, score) is the id both agree on, else that of the higher score; the cosine wins ties.
+    """
     folder = _folder(t.spark)
     items = t["items"].repartition(2, "norm")
     items.write.parquet(f"{folder}/in")
     catalog = t["std"].select("std_id", "category", "description")
 
     def step(batch: DataFrame, n: int) -> None:
-        matching.match_edit(batch, catalog).write.mode("overwrite").parquet(f"{folder}/out/{n}")
+        near = matching.match_search(batch, catalog).select("norm", F.col("std_id").alias("cosine_id"), (F.col("score") * 2 - 1).alias("cosine_score"))
+        edit = matching.match_edit(batch, catalog).select("norm", F.col("std_id").alias("edit_id"), F.col("score").alias("edit_score"))
+        first = F.coalesce(F.col("cosine_id") == F.col("edit_id"), F.lit(False)) | (F.col("cosine_score") >= F.col("edit_score"))
+        voted = near.join(edit, "norm").select("*", F.when(first, F.col("cosine_id")).otherwise(F.col("edit_id")).alias("std_id"), F.greatest("cosine_score", "edit_score").alias("score"))
+        voted.write.mode("overwrite").parquet(f"{folder}/out/{n}")
 
     incremental.in_batches(incremental.changes(t.spark, f"{folder}/in", items.schema, 1), step, f"{folder}/state").awaitTermination()
     return t.spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
