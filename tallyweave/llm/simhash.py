@@ -1,14 +1,16 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Distinct 64-bit fingerprints are sorted by Gray rank, so that neighbours share long runs of equal bits. Every 16 of
-them make a node that holds what they have in common (a mask of the shared bits and their values), every 16 nodes a
-node above, up to a root. A search carries the query's differences from a node's shared bits; as soon as they exceed
-the allowed distance, the whole group below is dropped.
+them make a node that holds what they have in common (their shared bits, without those that the node above already
+shares), every 16 nodes a node above, up to a root. A search goes down from the root and adds, node by node, how many
+of the newly shared bits the query lacks; as soon as the sum exceeds the allowed distance, the whole group below is
+dropped.
 
 The index is spread by its topmost pattern: two fingerprints at most MAX_BITS apart agree wholly in one of
 MAX_BITS + 1 bands, so each fingerprint is filed once a band, under the band's bits turned to the top. Those bits
 head the Gray order, and the index of one top pattern is searched by one task. A pattern that very many fingerprints
-have is parted again by the bands of its remaining bits, by the same argument, so nothing is lost by parting.
+have is parted again by the bands of its remaining bits, by the same argument and as often as it takes, so that an
+index stays small and nothing is lost by parting.
 
 Only a spanning forest of the links leaves a task (links inside a class are implied), and classes are joined by
 contraction in Spark.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import components, scratch, stored, table
+from .common import components, lookup, scratch, shared_dir, stored, table
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -77,43 +79,42 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bands(bits: int, n: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of n bands that cover `bits` bits."""
-    cut = [bits * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
-
-
 class GrayIndex:
-    """The tree over fingerprints sorted by Gray rank: per level, the shared bits of each node and their mask."""
+    """The tree over fingerprints sorted by Gray rank: per level, the values and the mask of the bits that a node shares and the one above does not."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints = prints
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.prints, self.visited = prints, 0
+        whole: list[tuple[np.ndarray, np.ndarray]] = []
         ones = zeros = prints  # bits set in all below, in any below
-        while len(ones) > 1 or not self.levels:
+        while len(ones) > 1 or not whole:
             at = np.arange(0, len(ones), FANOUT)
             ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_or.reduceat(zeros, at)
-            self.levels.append((ones, ~(ones ^ zeros)))
-            if len(ones) == 1:
-                break
+            whole.append((ones, ~(ones ^ zeros)))
+        self.levels = [(bits, mask & ~np.repeat(up, FANOUT)[: len(mask)]) for (bits, mask), (_, up) in zip(whole, whole[1:], strict=False)] + whole[-1:]
+        #: What the lowest nodes leave open of each fingerprint.
+        self.rest = ~np.repeat(whole[0][1], FANOUT)[: len(prints)]
 
     def pairs(self, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(i, j), i < j, of all pairs at most max_bits apart, some at a time."""
+        """(i, j), i < j, of all pairs at most max_bits apart, some at a time. `visited` counts the nodes and prints looked at."""
         n = len(self.prints)
         for at in range(0, n, 2048):
             query = np.arange(at, min(n, at + 2048))
-            node = np.zeros(len(query), np.int64)
+            node, apart = np.zeros(len(query), np.int64), np.zeros(len(query), np.uint8)
             for depth in range(len(self.levels) - 1, -1, -1):
                 bits, mask = self.levels[depth]
-                keep = np.bitwise_count((self.prints[query] ^ bits[node]) & mask[node]) <= max_bits
-                query, node = query[keep], node[keep]
+                self.visited += len(query)
+                apart = apart + np.bitwise_count((self.prints[query] ^ bits[node]) & mask[node])
+                keep = apart <= max_bits
+                query, node, apart = query[keep], node[keep], apart[keep]
                 below = len(self.levels[depth - 1][0]) if depth else n
-                query, node = np.repeat(query, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                query, apart, node = np.repeat(query, FANOUT), np.repeat(apart, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 keep = node < below
                 # Nodes that end before the query hold only pairs that were found from the other side.
                 keep &= (node + 1) * FANOUT**depth > query
-                query, node = query[keep], node[keep]
-            keep = (node > query) & (np.bitwise_count(self.prints[query] ^ self.prints[node]) <= max_bits)
+                query, node, apart = query[keep], node[keep], apart[keep]
+            self.visited += len(query)
+            apart = apart + np.bitwise_count((self.prints[query] ^ self.prints[node]) & self.rest[node])
+            keep = (node > query) & (apart <= max_bits)
             yield query[keep], node[keep]
 
 
@@ -183,42 +184,52 @@ def _by_pattern(p: np.ndarray, n: np.ndarray, t: np.ndarray, solve) -> list[pa.R
     return [x for x in out if x is not None]
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, wide: int = WIDE) -> DataFrame:
+def _refiled(filed: DataFrame, n: int) -> DataFrame:
+    """Each row (node, turned, used, pattern) once for each of n bands of the bits below its `used` top ones, with the band turned up to them."""
+    rest = "(64 - used)"
+    bands_ = ", ".join(f"struct({k} AS k, cast({rest} * {k} / {n} AS int) AS low, cast({rest} * {k + 1} / {n} AS int) AS high)" for k in range(n))
+    each = filed.select("node", "turned", "used", "pattern", F.expr(f"explode(array({bands_})) AS b"))
+    # The low part without the top bits (a shift by 64 would be one by 0), and the same turned so that the band comes first.
+    top = "CASE WHEN used = 0 THEN 0L ELSE shiftleft(shiftrightunsigned(turned, 64 - used), 64 - used) END"
+    tail = "(turned ^ top)"
+    up = f"CASE WHEN b.high = {rest} THEN {tail} ELSE shiftrightunsigned({tail}, b.high) | shiftrightunsigned(shiftleft({tail}, 64 - b.high), used) END"
+    turned = each.withColumn("top", F.expr(top)).select("node", F.expr(f"top | ({up}) AS turned"), F.expr("used + b.high - b.low AS used"), "pattern", "b.k")
+    return turned.select("node", "turned", "used", F.xxhash64("pattern", "k", F.expr("shiftrightunsigned(turned, 64 - used)")).alias("pattern"))
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, wide: int | None = None) -> DataFrame:
     """Links (a, b) between node ids that span the classes of fingerprints at most max_bits apart.
 
-    nodes: (fp long, node long), distinct in fp.
+    nodes: (fp long, node long), distinct in fp, and better stored: it is read twice, and once more for each further
+    parting of patterns with over `wide` fingerprints (WIDE, unless given).
     """
-    n = max_bits + 1
-
-    def turned(x: Column, low: int, width: int) -> Column:
-        """x with the band at `low` turned to the top."""
-        right = (low + width) % 64
-        return x if right == 0 else F.shiftrightunsigned(x, right).bitwiseOR(F.shiftleft(x, 64 - right))
-
-    filed = nodes.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.lit(w).alias("width"), turned(F.col("fp"), low, w).alias("turned")) for k, (low, w) in enumerate(bands(64, n))])).alias("f"))
-    top = filed.select("node", "f.band", "f.turned", F.col("f.width"), F.expr("shiftrightunsigned(f.turned, 64 - f.width)").alias("top"))
-    crowded = top.groupBy("band", "top").count().where(F.col("count") > wide).select(F.col("band").alias("b"), F.col("top").alias("t"), F.lit(True).alias("hot"))
-    marked = top.join(crowded, (F.col("band") == F.col("b")) & (F.col("top") == F.col("t")), "left")
-    # A crowded pattern takes a further band of the bits below it into its own.
-    rest = F.expr("64 - width")
-    inner = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(-1)))).alias("inner")
-    parted = marked.select("node", "band", "turned", "top", rest.alias("rest"), inner)
-    low, high = F.expr("cast(floor(rest * inner / {n}) as int)".format(n=n)), F.expr("cast(floor(rest * (inner + 1) / {n}) as int)".format(n=n))
-    part = F.expr("shiftrightunsigned(shiftleft(turned, 64 - __high), 64 - __high + __low)")
-    parted = parted.withColumn("__low", low).withColumn("__high", high)
-    parted = parted.withColumn("part", F.when(F.col("inner") >= 0, part).otherwise(F.lit(0)))
-    keyed = parted.select("node", "turned", F.xxhash64("band", "top", "inner", "part").alias("pattern"))
-    sorted_ = keyed.repartition("pattern").sortWithinPartitions("pattern")
+    wide, n = WIDE if wide is None else wide, max_bits + 1
+    shared_dir(nodes.sparkSession)
+    filed = _refiled(nodes.select("node", F.col("fp").alias("turned"), F.lit(0).alias("used"), F.lit(0).cast("long").alias("pattern")), n)
+    small = None
+    while True:
+        # A pattern whose remaining bits allow no more than `wide` values has no more fingerprints, as they are distinct.
+        crowded = filed.groupBy("pattern").agg(F.count(F.lit(1)).alias("count"), F.max("used").alias("used")).where(F.col("count") > wide).where(F.col("used") <= 64 - n)
+        crowded = crowded.select("pattern", F.lit(True).alias("crowded")).checkpoint()
+        if crowded.isEmpty():
+            small = filed if small is None else small.unionByName(filed)
+            break
+        marked = lookup(filed, ["pattern"], crowded, F.xxhash64("node")).checkpoint()
+        few = marked.where("crowded IS NULL").drop("crowded")
+        small = few if small is None else small.unionByName(few)
+        filed = _refiled(marked.where("crowded").drop("crowded"), n)
+    sorted_ = small.select("node", "turned", "pattern").repartition("pattern").sortWithinPartitions("pattern")
     return sorted_.mapInArrow(lambda it: _search(it, max_bits), "a long, b long")
 
 
 def _classes(prints: DataFrame, first: Column, max_bits: int) -> DataFrame:
     """(fp, first): for each fingerprint of prints the least `first` in its class."""
+    shared_dir(prints.sparkSession)
     nodes = prints.groupBy("fp").agg(F.min(first).alias("own")).checkpoint()
     found = components(nodes.select(F.col("fp").alias("id")), links(nodes.select("fp", F.col("fp").alias("node")), max_bits))
-    per = nodes.join(found, nodes["fp"] == found["id"]).select("fp", "own", "component_id")
+    per = nodes.join(found, nodes["fp"] == found["id"]).select("fp", "own", "component_id").checkpoint()
     least = per.groupBy("component_id").agg(F.min("own").alias("first"))
-    return per.join(least, "component_id").select("fp", "first")
+    return lookup(per, ["component_id"], least, F.xxhash64("fp")).select("fp", "first")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -229,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay, and rows with one id and several texts have a row and a class for each.
     """
     prints = stored(docs.select(F.col(id_col).cast("long").alias("id"), simhash(F.col(text_col)).alias("fp")))
-    return prints.join(_classes(prints, F.col("id"), max_bits), "fp").select("id", "fp", F.col("first").alias("component_id"))
+    return lookup(prints, ["fp"], _classes(prints, F.col("id"), max_bits), F.xxhash64("id")).select("id", "fp", F.col("first").alias("component_id"))
 
 
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

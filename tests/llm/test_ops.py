@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, chat_format, embedding_dedup, fingerprints, license_scan, packing, quality, sharding, simhash, toxicity
+from tallyweave.llm import bpe, chat_format, common, embedding_dedup, fingerprints, license_scan, packing, quality, sharding, simhash, toxicity
 from tallyweave.llm.common import components, gapless, table
 from tallyweave.llm.labels import held_out
 from tallyweave.llm.tokens import WordEncoder, load, tokenizer_path
@@ -58,6 +58,17 @@ def test_components(spark):
     assert {r["id"]: r["component_id"] for r in got} == {i: root(i) for i in ids} and len(got) == len(ids)
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_lookup_of_hot_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST", most)
+    keys = [1] * 300 + [None] * 100 + list(range(400, 1000))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    found = spark.createDataFrame([(1, "x", 1), (500, "y", None), (501, None, 3), (None, "n", 4)], "k long, v string, w int")
+    want = {1: ("x", 1), 500: ("y", None), 501: (None, 3)}
+    got = common.lookup(rows, ["k"], found, F.xxhash64("i")).collect()
+    assert sorted((r["i"], r["k"], r["v"], r["w"]) for r in got) == [(i, k, *want.get(k, (None, None))) for i, k in enumerate(keys)]
+
+
 def test_gapless(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").when(F.col("id") < 950, None).otherwise("cold").alias("g"), "id")
     by = defaultdict(list)
@@ -413,7 +424,6 @@ def near_texts(n):
 @pytest.mark.parametrize("wide", [4096, 3])
 def test_simhash_classes(spark, odd, wide, monkeypatch):
     monkeypatch.setattr(simhash, "WIDE", wide)
-    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.MAX_BITS, wide))
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(i + 100, t) for i, t in near_texts(300)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
     got = sorted(((r["id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=repr)
@@ -451,3 +461,33 @@ def test_gray_index_finds_all_pairs():
     got = {(int(a), int(b)) for i, j in simhash.GrayIndex(x).pairs(2) for a, b in zip(i, j, strict=True)}
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 2
     assert got == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+
+
+@pytest.mark.parametrize("top", [0, 21, 35])
+def test_gray_index_prunes(top):
+    """Few of the pairs are ever looked at, also among fingerprints that agree in their top bits."""
+    rng = np.random.default_rng(8)
+    x = np.unique(rng.integers(0, 1 << 63, 8000, dtype=np.uint64) >> np.uint64(top))
+    x = x[np.argsort(simhash.gray_rank(x))]
+    index = simhash.GrayIndex(x)
+    found = sum(len(i) for i, _ in index.pairs(2))
+    assert found == sum(int((np.bitwise_count(x[i + 1 :] ^ x[i]) <= 2).sum()) for i in range(len(x)))
+    assert index.visited < len(x) ** 2 / 2 / 5
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_refiling_turns_bits(spark, n):
+    """Every band comes to the top once, below the bits already used, and no bit is lost."""
+    rng = np.random.default_rng(9)
+    rows = [(int(k), int(v)) for k, v in enumerate(rng.integers(-(1 << 63), 1 << 63, 20))]
+    filed = simhash._refiled(spark.createDataFrame(rows, "node long, turned long").selectExpr("node", "turned", "0 AS used", "0L AS pattern"), n)
+    for _ in range(2):
+        filed = simhash._refiled(filed, n)
+    got = filed.collect()
+    assert len(got) == len(rows) * n**3
+    for r in got:
+        assert (r["turned"] % (1 << 64)).bit_count() == (rows[r["node"]][1] % (1 << 64)).bit_count()
+    first = simhash._refiled(spark.createDataFrame(rows, "node long, turned long").selectExpr("node", "turned", "0 AS used", "0L AS pattern"), n).collect()
+    for r in first:
+        v = rows[r["node"]][1] % (1 << 64)
+        assert r["turned"] % (1 << 64) in {((v >> k) | (v << (64 - k))) % (1 << 64) for k in range(64)}
