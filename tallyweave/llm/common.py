@@ -82,18 +82,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def lookup(rows: DataFrame, keys: list[str], found: DataFrame, spread: Column, hot: DataFrame | None = None) -> DataFrame:
+def lookup(rows: DataFrame, keys: list[str], found: DataFrame, spread: Column, hot: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """rows with the other columns of found, null where found has no such key: a left join in which a key may hold any share of rows.
 
     found is unique in keys, and no column is in both but the keys. The keys that hold more than one in MOST of the
     rows are MOST at most, so their part of found is broadcast (a caller that knows them gives found's rows for them as
-    `hot`); the rest meets by a shuffle, with the rows of hot and null keys dealt over SALTS parts by `spread` (a hash
+    `hot`, one that knows how many rows there are says `total`); the rest meets by a shuffle, with the rows of hot and null keys dealt over SALTS parts by `spread` (a hash
     of stable columns), so that no task gets a large key whole.
     """
     salt, is_hot, n = scratch("salt"), scratch("hot"), scratch("n")
     more = [c for c in found.columns if c not in keys]
     if hot is None:
-        often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > hot_over(rows.count())).drop(n)
+        often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > hot_over(rows.count() if total is None else total)).drop(n)
         hot = often.join(found, keys)
     named = {c: scratch("hot_" + c) for c in more}
     apart = hot.select(*keys, *[F.col(c).alias(named[c]) for c in more], F.lit(True).alias(is_hot))
@@ -144,11 +144,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     if not maps:
         return nodes.select("id", F.col("id").alias("component_id"))
     moved = maps[0].select(F.col("u").alias("id"), F.col("to").alias("at")).checkpoint()
+    total = moved.count()
     for into in maps[1:]:
-        met = lookup(moved, ["at"], into.select(F.col("u").alias("at"), "to"), F.xxhash64("id"))
+        met = lookup(moved, ["at"], into.select(F.col("u").alias("at"), "to"), F.xxhash64("id"), total=total)
         moved = met.select("id", F.coalesce("to", "at").alias("at")).checkpoint()
     least = moved.groupBy("at").agg(F.min("id").alias("component_id"))
-    named = lookup(moved, ["at"], least, F.xxhash64("id")).select("id", "component_id")
+    named = lookup(moved, ["at"], least, F.xxhash64("id"), total=total).select("id", "component_id")
     return nodes.join(named, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
 
 

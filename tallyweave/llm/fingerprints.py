@@ -1,9 +1,9 @@
 """Threshold-scaled document sketches, in DataFrame operations only.
 
-A sketch keeps every distinct shingle hash that lies below a fixed share of the hash range (one in 2**SCALE_BITS).
-As the threshold is the same for all, sketches of parts merge by union, and the share of one sketch found in another
-estimates containment however unequal the two documents are. A text whose hashes all lie above the threshold keeps
-its least one, so that only texts without words have an empty sketch.
+A sketch keeps every distinct shingle hash that lies below a fixed share of the hash range (one in 2**SCALE_BITS), and
+no other. As the threshold is the same for all, the union of two sketches is the sketch of both texts, and the share of
+one sketch found in another estimates containment however unequal the two documents are. A text of few shingles may
+keep none; such a sketch says nothing of how alike it is to another, and likeness() falls back on equality.
 """
 
 from __future__ import annotations
@@ -11,36 +11,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import scratch, shared_dir, table, text_of
 
 SHINGLE = 5
-SCALE_BITS = 3
+#: Half of the hashes: short texts need many, and a text's sketch still has fewer numbers than the text has words.
+SCALE_BITS = 1
 HEX = 8
-#: Ranges of ids in which a document's neighbour is looked up: a number of ranges, not of rows.
-RANGES = 64
+#: Rows in a range of ids in which a document's neighbour is looked up.
+RANGE_ROWS = 250_000
 
 
 def with_sketch(df: DataFrame, text: Column, name: str, shingle: int = SHINGLE, scale_bits: int = SCALE_BITS) -> DataFrame:
-    """df with `name`: the sorted array of the text's retained hashes (long, 32 bits each).
+    """df with `name`: the sorted array of the text's retained hashes, their 32 bits below the threshold's as int.
 
     Words are what white space parts, in lower case. A text of fewer words than a shingle has one shingle: all of
-    them. A null text is empty.
+    them. A null text is empty. The order is that of unsigned numbers; `name` replaces a column of that name.
     """
-    w, h = f"__{name}_w", f"__{name}_h"
+    w, h = scratch("words"), scratch("hashes")
     df = df.withColumn(w, F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+"), ""))
     rolled = F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(shingle)]))
     df = df.withColumn(h, F.when(F.size(w) >= shingle, rolled).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<long>")))
-    low = F.filter(h, lambda x: F.shiftrightunsigned(x, 64 - scale_bits) == 0)
-    least = F.reduce(h, F.lit(None).cast("long"), lambda a, x: F.when(a.isNull() | (F.shiftrightunsigned(x, 1) < F.shiftrightunsigned(a, 1)), x).otherwise(a))
-    df = df.withColumn(f"__{name}_l", low)
-    kept = F.when((F.size(f"__{name}_l") > 0) | (F.size(h) == 0), F.col(f"__{name}_l")).otherwise(F.array(least))
-    short = lambda x: F.shiftrightunsigned(x, 64 - 32 - scale_bits).bitwiseAND(F.lit(0xFFFFFFFF))
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.transform(kept, short)))).drop(w, h, f"__{name}_l")
+    low = F.filter(h, lambda x: F.shiftrightunsigned(x, 64 - scale_bits) == 0) if scale_bits else F.col(h)
+    # 32 bits as a number from 0 sort by value, and as an int (a shift of the sign) they take half the room.
+    short = lambda x: (F.shiftrightunsigned(x, 64 - 32 - scale_bits).bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+    return df.withColumn(name, F.array_sort(F.array_distinct(F.transform(low, short)))).drop(w, h)
 
 
 def sketch_text(sketch: Column) -> Column:
-    """A sketch as a string: 8 hex digits for each hash."""
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), HEX, "0"))), "")
+    """A sketch as a string: 8 hex digits for each hash, in order."""
+    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), HEX, "0"))), "")
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -53,55 +52,71 @@ def contained(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the larger one, 0 to 1."""
-    return F.when(F.size(a) <= F.size(b), contained(a, b)).otherwise(contained(b, a))
+def likeness(a: Column, b: Column, same: Column | None = None) -> Column:
+    """Containment of the smaller sketch in the larger one, 0 to 1.
+
+    An empty sketch, of a text without words or with too few to keep a hash, allows no estimate: then 1 if the texts
+    are the `same` (or, where that is not said, both sketches are empty) and else 0.
+    """
+    some = F.when(F.size(a) <= F.size(b), contained(a, b)).otherwise(contained(b, a))
+    return some if same is None else F.when((F.size(a) == 0) | (F.size(b) == 0), same.cast("double")).otherwise(some)
 
 
-def next_in_order(keys: DataFrame, ranges: int = RANGES) -> DataFrame:
+def next_in_order(keys: DataFrame) -> DataFrame:
     """keys (doc_id, h, n), unique in (doc_id, h), with (next_id, next_h): the one after it in descending order, the first one after the last.
 
-    Ids are dealt to ranges at approximate quantiles, so a task orders one range; the first key of each range (one
-    row a range) closes the gaps between them. Null ids come last.
+    Keys are dealt to ranges of about RANGE_ROWS rows by their order, so a task orders one range, whatever ids repeat;
+    the first key of each range (one row a range) closes the gaps between them. Null ids come last.
     """
-    cuts = keys.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    rank = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda x: x > F.col("doc_id"))) if cuts else F.lit(0)
-    keys = keys.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(rank))
+    shared_dir(keys.sparkSession)
+    ranges = max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // RANGE_ROWS))
+    order = (F.desc_nulls_last("doc_id"), F.desc("h"))
+    # Ranges are drawn at cuts that Spark samples; the checkpoint keeps both uses of them the same.
+    keys = keys.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()).checkpoint()
     key = F.struct("doc_id", "h")
     firsts = keys.groupBy("range").agg(F.max(key).alias("first"))
     ring = Window.orderBy("range")
-    gaps = firsts.select("range", F.coalesce(F.lead("first").over(ring), F.max("first").over(Window.partitionBy())).alias("after"))
-    inside = F.lead(key).over(Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), F.desc("h")))
+    gaps = firsts.select("range", F.coalesce(F.lead("first").over(ring), F.first("first").over(ring)).alias("after"))
+    inside = F.lead(key).over(Window.partitionBy("range").orderBy(*order))
     out = keys.withColumn("inside", inside).join(F.broadcast(gaps), "range").withColumn("next", F.coalesce("inside", "after"))
     return out.select("doc_id", "h", "n", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Sketches of every text, of its edited form and of its neighbour, and how alike they are.
+    """Sketches of every text, of its edited form and of its neighbour: doc_id, text, n_chars, edited, sketch, edited_sketch, next_sketch, next_same.
 
     The edited form takes the first floor(n_chars / 3) code points of the next document (by descending doc_id, ties
     by the text's hash) in place of its own last ones. Rows equal in id and text share one neighbour and one result
-    each; null texts are empty; a lone document is its own neighbour. The ids alone are ordered; a text moves once
-    to meet its key, and of its neighbour only the needed prefix and the sketch move on.
+    each; null texts are empty; a lone document is its own neighbour (next_same: whether the texts are equal); an empty
+    table has no rows, and other columns are not looked at. The ids alone are ordered; each text is sketched once, and
+    of a neighbour only the needed prefix and the sketch move.
     """
     base = docs.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
     keys = base.select("doc_id", "h", F.length("text").alias("n")).groupBy("doc_id", "h").agg(F.max("n").alias("n"))
     order = next_in_order(keys)
     asked = order.select(F.col("next_id").alias("i"), F.col("next_h").alias("j"), F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    met = base.join(asked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))).select("for_id", "for_h", F.substring("text", F.lit(1), F.col("need")).alias("prefix"), "text")
-    lent = with_sketch(met, F.col("text"), "next_sketch").select("for_id", "for_h", F.struct("prefix", "next_sketch").alias("lent"))
+    own = with_sketch(base, F.col("text"), "sketch")
+    met = own.join(asked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")))
+    lent = met.select("for_id", "for_h", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), F.col("sketch").alias("next_sketch"), F.col("h").alias("next_h")).alias("lent"))
     lent = lent.groupBy("for_id", "for_h").agg(F.first("lent").alias("lent"))  # copies of the neighbour lend the same
-    both = base.join(lent, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("h") == F.col("for_h")))
+    both = own.join(lent, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("h") == F.col("for_h")))
     n = F.length("text")
-    both = both.select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("lent.prefix")).alias("edited"), F.col("lent.next_sketch").alias("next_sketch"))
-    return with_sketch(with_sketch(both, F.col("text"), "sketch"), F.col("edited"), "edited_sketch")
+    both = both.select(
+        "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("lent.prefix")).alias("edited"),
+        "sketch", F.col("lent.next_sketch").alias("next_sketch"), (F.col("lent.next_h") == F.col("h")).alias("next_same"),
+    )
+    return with_sketch(both, F.col("edited"), "edited_sketch")
 
 
-def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole text of documents, its edited text, and its likeness to that and to the next document."""
-    d = compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def compared(docs: DataFrame) -> DataFrame:
+    """Per row of docs: its size, the edited text's digest, both fingerprints, and its likeness to the edited text and to the next document."""
+    d = compare_edited(docs)
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch_text(F.col("sketch")).alias("fingerprint"), sketch_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch"), F.col("next_same")).alias("near_next"),
     )
+
+
+def op6_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text of documents, its edited text, and its likeness to that and to the next document."""
+    return compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
