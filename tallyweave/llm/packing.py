@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless, stored, table, text_of
+from .common import gapless, scratch, stored, table, text_of
 from .tokens import tokenizer_path, word_encoder
 
 LENGTH = 2048
 END_ID = 1
-SALTS = 256
+#: Pieces of one length in a part when they are numbered.
+PART_PIECES = 100_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -87,27 +88,31 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in ranges.items()}
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, part_pieces: int = PART_PIECES) -> DataFrame:
     """pieces (length long, and columns that tell them apart) with sequence_id and offset (long).
 
     Each piece lies in one sequence; offsets in a sequence are gapless from 0; pieces without tokens are left out.
-    Repeated rows are pieces of their own. pieces is read twice, so it should be a stored table.
+    Repeated rows are pieces of their own, an empty table has none, and columns named sequence_id or offset are
+    replaced. pieces is read twice, so it should be a stored table.
     """
     pieces = pieces.where("length > 0").drop("sequence_id", "offset")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     where = slots(shortest_pack_first(histogram, length))
     names = [c for c in pieces.columns]
-    ranked = gapless(pieces, ["length"], F.xxhash64(*names), [F.col(c) for c in names], "__rank", salts)
+    rank = scratch("rank")
+    # The commonest length, of which whole sequences are, is numbered in as many parts as it needs.
+    salts = max(pieces.sparkSession.sparkContext.defaultParallelism, -(-max(histogram.values(), default=0) // part_pieces))
+    ranked = gapless(pieces, ["length"], F.xxhash64(*names), [F.col(f"`{c}`") for c in names], rank, salts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, rank = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
+            n, number = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", rank))
             sequence, offset = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
             for k in np.unique(n):
                 rows = np.flatnonzero(n == k)
                 starts, first, at = where[int(k)]
-                slot = np.searchsorted(starts, rank[rows], "right") - 1
-                sequence[rows], offset[rows] = first[slot] + rank[rows] - starts[slot], at[slot]
+                slot = np.searchsorted(starts, number[rows], "right") - 1
+                sequence[rows], offset[rows] = first[slot] + number[rows] - starts[slot], at[slot]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
@@ -123,6 +128,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids: little-endian 32-bit).
 
     A text's ids are the tokenizer's without special tokens, then END_ID; a null text is empty and so has END_ID alone.
+    Repeated rows have pieces each, a null doc_id stays null, and other columns of docs are not looked at.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

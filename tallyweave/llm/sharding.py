@@ -49,8 +49,9 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, *, s
     """df and its shard (int), grown_shard (int, with one shard more) and slot (long, gapless from 0 in the shard).
 
     The shard depends on the key's value and the shard count alone: rows with one key share a shard, a null key is
-    one more key, and an empty table stays empty. Within a shard, slots follow key order inside hashed parts; rows
-    equal in the key are told apart by the row's hash, and wholly equal rows are interchangeable. Columns of df named
+    one more key, and an empty table stays empty. Within a shard, rows are dealt to parts by a hash of the whole row, so
+    that rows with one key share a shard and not a task, and slots follow key order inside a part; wholly equal rows
+    are interchangeable. Columns of df named
     shard, grown_shard or slot are replaced.
     """
     df = df.drop("shard", "grown_shard", "slot")
@@ -59,7 +60,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, *, s
     placed = keyed.withColumn("shard", shard_of(F.col(hashed), shards)).withColumn("grown_shard", shard_of(F.col(hashed), shards + 1))
     plain = [c for c, t in df.dtypes if "map" not in t and "variant" not in t]
     placed = placed.withColumn(own, F.xxhash64(*plain))
-    return gapless(placed, ["shard"], F.xxhash64(F.col(hashed), F.lit(1)), [F.col(hashed), F.col(key), F.col(own)], "slot", salts).drop(hashed, own)
+    return gapless(placed, ["shard"], F.xxhash64(F.col(own), F.lit(1)), [F.col(hashed), F.col(key), F.col(own)], "slot", salts).drop(hashed, own)
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = SHARDS, tasks_per_shard: int = 64) -> None:

@@ -18,6 +18,8 @@ import regex
 SPACED_WORD = regex.compile(r"\s*\S+|\s+")
 #: Code points that Python's str.split() takes for white space and Unicode does not.
 ODD = regex.compile("[\x1c-\x1f]")
+#: A text that words alone would get wrong by a vocabulary that looks at their surroundings.
+PROBE = "The Quick  brown fox's\njumps, over 12.5 (lazy) dogs. \u00c9t\u00e9 na\u00efve\u2014word  \u4f60\u597d THE quick, brown "
 #: Distinct words that an encoder keeps.
 KEPT = 600_000
 
@@ -53,6 +55,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith(end)]] = True
         self.type = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        if self.encode(PROBE).tolist() != self._ids(PROBE).tolist():
+            raise ValueError(f"{path}: not a vocabulary whose words are independent of the white space around them")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)

@@ -125,6 +125,21 @@ def test_packing(spark, data, odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_of_any_columns(spark):
+    rows = [(n, f"p{i}", i) for i, n in enumerate([2048] * 40 + [1000] * 30 + [7] * 300 + [0])]
+    out = packing.pack(spark.createDataFrame(rows, "length long, __rank string, offset int"), part_pieces=10)
+    assert out.columns == ["length", "__rank", "sequence_id", "offset"] and out.count() == len(rows) - 1
+    at = defaultdict(list)
+    for r in out.collect():
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in s) <= 2048 and [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] for s in at.values())
+
+
+def test_word_encoder_refuses_other_vocabularies():
+    with pytest.raises(ValueError):
+        WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+
+
 def test_word_encoder_forgets_without_harm():
     tokenizer, encoder = load(tokenizer_path("word_bpe_49k.json")), WordEncoder(tokenizer_path("word_bpe_49k.json"), kept=20)
     texts = [t for t in ODD if t] + ["Some more words, and MORE words. And others!"] * 3
@@ -400,8 +415,27 @@ def test_bpe_against_the_library(spark, odd, none):
     assert bpe.encoded(none).count() == 0
 
 
-def test_bpe_in_small_blocks(spark, data, monkeypatch):
+def test_bpe_of_shuffled_rows(spark, data):
+    """Rows out of a shuffle have no order of their own, and session settings stay as they are."""
+    docs = table(spark, data, "documents")
+    settings = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert bpe._steady(docs.select("doc_id", "text")) and not bpe._steady(docs.repartition(7))
+    a, b = bpe.encoded(docs), bpe.encoded(docs.repartition(7, F.rand()))
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert settings == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+def test_decoding_of_strange_ids(spark):
+    rows = spark.createDataFrame([(1, [464, None, -5, 10**9, 464]), (2, None), (None, []), (2, [50256])], "doc_id long, ids array<long>")
+    tokenizer = load(tokenizer_path("byte_bpe_50k.json"))
+    one, end = tokenizer.decode([464], skip_special_tokens=False), tokenizer.decode([50256], skip_special_tokens=False)
+    assert sorted(((r["doc_id"], r["text"]) for r in bpe.decoded(rows).collect()), key=repr) == sorted([(1, one + one), (2, ""), (None, ""), (2, end)], key=repr)
+
+
+@pytest.mark.parametrize("ahead", [1 << 16, 100, 0])
+def test_bpe_in_small_blocks(spark, data, monkeypatch, ahead):
     monkeypatch.setattr(bpe, "PIECE_WORDS", 50)
+    monkeypatch.setattr(bpe.words_ahead, "__defaults__", (ahead,))
     tokenizer = load(tokenizer_path("byte_bpe_50k.json"))
     docs = {r["doc_id"]: tokenizer.encode(r["text"], add_special_tokens=False).ids for r in table(spark, data, "documents").collect()}
     for r in bpe.op8_distinct_word_bpe(spark, data).collect():
