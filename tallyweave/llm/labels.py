@@ -20,8 +20,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
     """(doc_id, text, y) of at most `rows` labelled documents, those of the least hashes of their ids.
 
     Held-out rows and null labels are left out; an id labelled twice counts with its larger label, and a document
-    that repeats counts once. The ids chosen are at most `rows`, so they are broadcast.
+    that repeats counts once, with the text of the least hash where its id has several. The ids chosen are at most
+    `rows`, so they are broadcast.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    met = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = met.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", F.col("t.text").alias("text"), "y")

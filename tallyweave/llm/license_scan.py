@@ -11,6 +11,7 @@ The templates are constants of this module (about a hundred k-grams), so their t
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from .common import table, text_of
 
 #: Exact phrases, matched by word bigrams: label by phrase.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Longer notices, matched by runs of NOTICE_K words: label by text.
+#: Longer notices, matched by runs of notice_k() words: label by text.
 NOTICES = {
     "licensed under cc by nc 4.0": "cc-by-nc",
     "licensed under cc by sa 4.0": "cc-by-sa",
@@ -30,8 +31,8 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "all rights reserved no part of this publication may be reproduced": "proprietary",
+    "all rights reserved": "proprietary",
 }
-NOTICE_K = 4
 #: Diagonals at most this far apart belong to one occurrence.
 DIAGONAL_GAP = 3
 #: Share of a notice's k-grams that an occurrence must have.
@@ -42,13 +43,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def _grams(spark: SparkSession, texts: dict[str, str], k: int, exact: bool, first_id: int) -> DataFrame:
-    """hash, and the places that the k-gram has: (tid, tpos, k, total, exact, label, gram)."""
+def notice_k(words: int) -> int:
+    """Words in a k-gram of a notice of so many words.
+
+    Four; three for 8 to 12 words, where a changed word in the middle would spoil too many of four. The notices of 7
+    words differ from each other by one, which must tell them apart.
+    """
+    return min(words, 3 if 8 <= words <= 12 else 4)
+
+
+def _grams(spark: SparkSession, templates: list[tuple[list[str], str, int, bool]], k: int) -> DataFrame:
+    """hash, and the places that the k-gram has: (tid, tpos, k, total, exact, label, gram). A template's number is its place in the list."""
     rows = []
-    for tid, (text, label) in enumerate(texts.items(), first_id):
-        words = WORD.findall(text)
-        total = len(words) - k + 1
-        rows += [(tid, i, k, total, exact, label, words[i : i + k]) for i in range(total)]
+    for tid, (words, label, own, exact) in enumerate(templates):
+        total = len(words) - own + 1
+        rows += [(tid, i, k, total, exact, label, words[i : i + k]) for i in range(total) if own == k]
     df = spark.createDataFrame(rows, "tid int, tpos int, k int, total int, exact boolean, label string, gram array<string>")
     at = F.struct("tid", "tpos", "k", "total", "exact", "label", "gram")
     return df.groupBy(F.xxhash64(*[F.col("gram")[i] for i in range(k)]).alias(f"h{k}")).agg(F.collect_list(at).alias(f"at{k}"))
@@ -62,10 +71,12 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
-    if any(len(WORD.findall(p)) < 2 for p in phrases) or any(len(WORD.findall(p)) < NOTICE_K for p in notices):
-        raise ValueError(f"a phrase needs 2 words, a notice {NOTICE_K}")
-    short = _grams(spark, phrases, 2, True, 0)
-    long = _grams(spark, notices, NOTICE_K, False, len(phrases))
+    templates = [(WORD.findall(p), label, 2, True) for p, label in phrases.items()]
+    templates += [(words, label, notice_k(len(words)), False) for words, label in ((WORD.findall(n), label) for n, label in notices.items())]
+    if any(len(words) < 2 for words, *_ in templates):
+        raise ValueError("a phrase or notice needs 2 words")
+    sizes = sorted({k for _, _, k, _ in templates})
+    tables = {k: _grams(spark, templates, k) for k in sizes}
     w = F.col("w")
     first, last = F.element_at(w, 1) == "", F.element_at(w, -1) == ""
     split = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).select("id", F.xxhash64("t").alias("text_key"), F.split("t", SEPARATORS).alias("w"))
@@ -74,16 +85,16 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = split.select("id", "text_key", "w", n_words.cast("long").alias("n_words"), lead.alias("lead"), F.posexplode("w").alias("p", "x"))
     word = lambda i: F.get(w, F.col("p") + i) if i else F.col("x")
     hashed = lambda k: F.xxhash64(*[F.lower(word(i)) for i in range(k)])
-    found = (
-        at.withColumn("h2", hashed(2)).join(F.broadcast(short), "h2", "left")
-        .withColumn(f"h{NOTICE_K}", hashed(NOTICE_K)).join(F.broadcast(long), f"h{NOTICE_K}", "left")
-        .where(F.col("at2").isNotNull() | F.col(f"at{NOTICE_K}").isNotNull() | (F.col("p") == 0))
-    )
-    none = F.array().cast(long.schema[f"at{NOTICE_K}"].dataType)
+    found = at
+    for k, grams in tables.items():
+        found = found.withColumn(f"h{k}", hashed(k)).join(F.broadcast(grams), f"h{k}", "left")
+    voted = [F.col(f"at{k}") for k in sizes]
+    found = found.where(reduce(lambda x, y: x | y, (v.isNotNull() for v in voted), F.col("p") == 0))
+    none = F.array().cast(tables[sizes[0]].schema[f"at{sizes[0]}"].dataType)
     hits = found.select(
         "id", "text_key", "n_words", (F.col("p") - F.col("lead")).cast("long").alias("p"),
-        F.array(*[F.translate(word(i), UPPER, LOWER) for i in range(NOTICE_K)]).alias("here"),
-        F.explode_outer(F.concat(F.coalesce("at2", none), F.coalesce(f"at{NOTICE_K}", none))).alias("v"),
+        F.array(*[F.translate(word(i), UPPER, LOWER) for i in range(sizes[-1])]).alias("here"),
+        F.explode_outer(F.concat(*[F.coalesce(v, none) for v in voted])).alias("v"),
     )
     # A hash may collide and lower() folds a few letters beyond A-Z: the words themselves decide.
     same = F.slice("here", 1, F.col("v.k")) == F.col("v.gram")

@@ -153,7 +153,11 @@ def _features(texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = QUALITY_ROWS) -> AdditiveModel:
-    """The model of at most `rows` labelled documents outside the held-out third."""
+    """The model of at most `rows` labelled documents outside the held-out third.
+
+    Null and empty texts measure 0 throughout; an id that repeats counts once (see labelled()); an empty table, or one
+    without labels, makes a model that scores every text 0.5. Other columns are not looked at.
+    """
 
     @arrow_udf("array<double>")
     def measured(texts: pa.Array) -> pa.Array:
@@ -182,6 +186,6 @@ def op7_additive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> DataFrame:
-    """The rows of docs (their columns) whose text scores `least` or more."""
+    """The rows of docs (their columns, whatever their names) whose text scores `least` or more; repeated rows stay repeated."""
     name = scratch("quality")
     return docs.withColumn(name, scored(model, F.col("text"))).where(F.col(name) >= least).drop(name)

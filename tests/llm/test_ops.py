@@ -176,6 +176,56 @@ def test_license_notices_with_gaps(spark, none):
     assert license_scan.license_scan(none).count() == 0
 
 
+def brute_notices(text):
+    """Labels and score of a text by plain loops over diagonals."""
+    words = license_scan.WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    labels, score = set(), 0.0
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        if any(words[i : i + len(p)] == p for i in range(len(words))):
+            labels, score = labels | {label}, 1.0
+    for notice, label in license_scan.NOTICES.items():
+        p = license_scan.WORD.findall(notice)
+        k = license_scan.notice_k(len(p))
+        places = defaultdict(set)
+        for i in range(len(words) - k + 1):
+            for j in range(len(p) - k + 1):
+                if words[i : i + k] == p[j : j + k]:
+                    places[i - j].add(j)
+        run, last = set(), None
+        for d in [*sorted(places), None]:
+            if last is not None and (d is None or d - last > license_scan.DIAGONAL_GAP):
+                cover = len(run) / (len(p) - k + 1)
+                if cover >= license_scan.MIN_COVER:
+                    labels, score = labels | {label}, max(score, cover)
+                run = set()
+            if d is not None:
+                run, last = run | places[d], d
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_against_brute_force(spark, data, odd):
+    random.seed(11)
+    texts = []
+    for notice in [*license_scan.NOTICES, *license_scan.PHRASES]:
+        words = license_scan.WORD.findall(notice)
+        for at in range(len(words)):
+            texts.append(" ".join([*words[:at], "changed", *words[at + 1 :]]))
+            texts.append(" ".join(["lead", *words[:at], "put", "in", *words[at:], "tail"]))
+        texts.append(f"{notice.upper()}. {notice}; and {notice}")
+    more = spark.createDataFrame(list(enumerate(texts, 10_000)), "doc_id long, text string")
+    docs = table(spark, data, "documents").select("doc_id", "text").unionByName(more).unionByName(odd.select("doc_id", "text"))
+    want = {(r["doc_id"], *brute_notices(r["text"])) for r in docs.collect()}
+    assert {(r["doc_id"], r["labels"], r["score"]) for r in license_scan.license_scan(docs).collect()} == want
+
+
+def test_license_notices_of_a_few_words(spark):
+    short = "this work is licensed under the gnu general public license version 3".split()
+    texts = ["All rights reserved.", "Copyright 2020. ALL RIGHTS RESERVED", "all rights are reserved", " ".join([*short[:5], "some", *short[6:]])]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(4)] == ["proprietary", "proprietary", "", "gpl"] and got[0]["n_base"] == 0
+
+
 # ---- 3 embeddings
 
 
@@ -325,6 +375,56 @@ def test_classifiers_on_awkward_tables(spark, odd, none):
     assert quality.keep_good(none, model).count() == 0 and toxicity.keep_clean(none, chain).count() == 0
 
 
+def test_scores_against_plain_python(spark, data):
+    """Both classifiers' scores, by loops over the learnt weights and tables."""
+    import math
+
+    docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
+    chain, model = toxicity.train(docs, labels), quality.train(docs, labels)
+    rows = docs.select("text", toxicity.scored(chain, F.col("text")).alias("t"), quality.scored(model, F.col("text")).alias("q")).collect()
+    for r in rows[:60]:
+        words = set(__import__("re").findall(r"\w+", r["text"].lower()))
+        x = [math.log1p(sum(w == n[2:] if n[0] == "0" else len(w) > int(n[0]) and w[: int(n[0])] == n[2:] for w in words)) for n in chain.vocabulary.names]
+        for k, w in enumerate(chain.weights):
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, w, strict=False)) + w[-1]))))
+            assert abs(p - r["t"][k]) < 1e-6 and len(w) == len(x) + 1
+            x.append(p)
+        f = quality.features(r["text"])
+        total = model.base
+        for v, edges, values in zip(f, model.edges, model.tables, strict=True):
+            total += values[sum(v >= e for e in edges)]
+        for (i, j), grid in zip(model.pairs, model.grids, strict=True):
+            total += grid[sum(f[i] >= e for e in model.coarse[i]), sum(f[j] >= e for e in model.coarse[j])]
+        assert abs(1 / (1 + math.exp(-max(-30, min(30, total)))) - r["q"]) < 1e-9
+
+
+def test_additive_model_learns_tables_and_a_pair():
+    """A step of one feature needs a table alone; the sign of a product of two needs their grid."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 4))
+    train, rest = slice(0, 4000), slice(4000, None)
+    right = lambda m, y: np.mean((m.score(x[rest]) >= 0.5) == (y[rest] > 0))
+    step, product = (x[:, 0] > 0.5).astype(float), (x[:, 1] * x[:, 2] > 0).astype(float)
+    assert right(quality.fit(x[train], step[train], pairs=0), step) > 0.97
+    alone, model = (quality.fit(x[train], product[train], pairs=k) for k in (0, 3))
+    assert model.pairs[0] == (1, 2) and right(model, product) > 0.85 > 0.6 > right(alone, product)
+
+
+def test_folds_do_not_see_their_labels(spark):
+    """Features and marks for a fold's rows stay the same whatever labels those rows have."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(300)}"
+    rows = [(" ".join([word() for _ in range(20)] + (["vile", "nasty"] if i % 3 == 0 else [])), int(i % 3 == 0), rng.randrange(toxicity.FOLDS)) for i in range(600)]
+    choose = lambda r: toxicity.choose_features(spark.createDataFrame(r, "text string, y int, fold int"), 40)
+    plain = choose(rows)
+    for f in range(toxicity.FOLDS):
+        flipped = choose([(t, 1 - y if g == f else y, g) for t, y, g in rows])
+        for was, now in ((plain.chosen, flipped.chosen), (plain.marks, flipped.marks)):
+            assert [plain.names[i] for i in was[f]] == [flipped.names[i] for i in now[f]]
+        assert [plain.names[i] for i in plain.chosen[-1]] != [flipped.names[i] for i in flipped.chosen[-1]]
+    assert {"0:vile", "0:nasty"} <= {plain.names[i] for i in plain.marks[-1]}
+
+
 def test_chain_feeds_earlier_probabilities():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
