@@ -88,24 +88,28 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     The edited form takes the first floor(n_chars / 3) code points of the next document (by descending doc_id, ties
     by the text's hash) in place of its own last ones. Rows equal in id and text share one neighbour and one result
     each; null texts are empty; a lone document is its own neighbour (next_same: whether the texts are equal); an empty
-    table has no rows, and other columns are not looked at. The ids alone are ordered; each text is sketched once, and
-    of a neighbour only the needed prefix and the sketch move.
+    table has no rows, and other columns are not looked at. The ids alone are ordered; a text is dealt once by its key,
+    and of a neighbour only the needed prefix and the sketch move on.
     """
-    base = docs.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
-    keys = base.select("doc_id", "h", F.length("text").alias("n")).groupBy("doc_id", "h").agg(F.max("n").alias("n"))
-    order = next_in_order(keys)
-    asked = order.select(F.col("next_id").alias("i"), F.col("next_h").alias("j"), F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    own = with_sketch(base, F.col("text"), "sketch")
-    met = own.join(asked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")))
-    lent = met.select("for_id", "for_h", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), F.col("sketch").alias("next_sketch"), F.col("h").alias("next_h")).alias("lent"))
-    lent = lent.groupBy("for_id", "for_h").agg(F.first("lent").alias("lent"))  # copies of the neighbour lend the same
-    both = own.join(lent, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("h") == F.col("for_h")))
+    # Keys without nulls, the same in every step, so that rows once dealt by them need not move again.
+    named = lambda c, to: (F.coalesce(F.col(c), F.lit(0)).alias(f"{to}_id"), F.col(c).isNull().alias(f"{to}_null"))
+    key = lambda to: [f"{to}_id", f"{to}_null", f"{to}_h"]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    keys = base.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    asked = next_in_order(keys).select(*named("next_id", "own"), F.col("next_h").alias("own_h"), *named("doc_id", "for"), F.col("h").alias("for_h"), F.floor(F.col("n") / 3).cast("int").alias("need"))
+    # Both uses take the same columns, so the texts are dealt once. A sketch is made where it is used: sent along with
+    # the text it would be a third of what is moved.
+    own = base.select("text", *named("doc_id", "own"), F.xxhash64("text").alias("own_h"))
+    met = with_sketch(own.join(asked, key("own")), F.col("text"), "sketch")
+    lent = met.select(*key("for"), F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), F.col("sketch").alias("next_sketch"), F.col("own_h").alias("next_h")).alias("lent"))
+    lent = lent.groupBy(*key("for")).agg(F.first("lent").alias("lent"))  # copies of the neighbour lend the same
+    both = own.join(lent.select(*[F.col(f).alias(o) for f, o in zip(key("for"), key("own"), strict=True)], "lent"), key("own"))
     n = F.length("text")
     both = both.select(
-        "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("lent.prefix")).alias("edited"),
-        "sketch", F.col("lent.next_sketch").alias("next_sketch"), (F.col("lent.next_h") == F.col("h")).alias("next_same"),
+        F.when(~F.col("own_null"), F.col("own_id")).alias("doc_id"), "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("lent.prefix")).alias("edited"),
+        F.col("lent.next_sketch").alias("next_sketch"), (F.col("lent.next_h") == F.col("own_h")).alias("next_same"),
     )
-    return with_sketch(both, F.col("edited"), "edited_sketch")
+    return with_sketch(with_sketch(both, F.col("text"), "sketch"), F.col("edited"), "edited_sketch")
 
 
 def compared(docs: DataFrame) -> DataFrame:
