@@ -14,7 +14,7 @@ from ..functions.text import cosine, edit_score, jaccard_score, normalize_basic,
 from ..operators import dedup, ensemble, fast_path, matching, review
 from ..sources.fixtures import Tables, V
 from ..streaming import incremental
-from .views import _LEVEL, DERIVED, NORM, VIEWS
+from .views import _LEVEL, DERIVED, NORM, TOLD, VIEWS
 
 #: How Spark makes the derived tables: by the operators where there is one.
 MADE = {
@@ -427,4 +427,4 @@ def _view(name: str):
 
 
 QUERIES = {k.removesuffix("_query"): f for k, f in QUERIES.items()} | {name: _view(name) for name in VIEWS}
-ORACLE = {k.removesuffix("_query"): sql for k, sql in ORACLE.items()} | VIEWS
+ORACLE = {k.removesuffix("_query"): sql for k, sql in ORACLE.items()} | VIEWS | TOLD
