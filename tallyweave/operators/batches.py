@@ -32,6 +32,52 @@ def prepare(raw: DataFrame, staging: DataFrame, batches: DataFrame, batch_id: st
     return items, closed.unionByName(new), staging.join(staged.select("item_id"), "item_id", "left_anti")
 
 
+METHODS = ("search", "cosine", "edit", "jaccard")
+
+
+def fan_out(matches: DataFrame, staged: DataFrame) -> DataFrame:
+    """matches (norm, and id and score by method) with the staged results of their descriptions, only where a score is missing.
+
+    staged: (norm, method, std_id, score, staged_at, seq); of several results the latest counts, then the greatest seq. One
+    aggregate and one join for all methods.
+    """
+    at = lambda m: F.max_by(F.when(F.col("method") == m, F.struct("std_id", "score")), F.when(F.col("method") == m, F.struct("staged_at", "seq"))).alias(f"new_{m}")
+    latest = staged.groupBy("norm").agg(*[at(m) for m in METHODS])
+    met = matches.join(latest, "norm", "left")
+    taken = {m: F.col(f"{m}_score").isNull() & F.col(f"new_{m}").isNotNull() for m in METHODS}
+    cols = [F.when(taken[m], F.col(f"new_{m}.{a}")).otherwise(F.col(f"{m}_{b}")).alias(f"{m}_{b}") for m in METHODS for a, b in (("std_id", "id"), ("score", "score"))]
+    changed = {f"{m}_{b}" for m in METHODS for b in ("id", "score")}
+    return met.select(*[c for c in matches.columns if c not in changed], *cols, *[taken[m].alias(f"{m}_merged") for m in METHODS])
+
+
+def left_over(staged: DataFrame, matches: DataFrame) -> DataFrame:
+    """Staged results of which no item has the score yet; the others are done with and go."""
+    had = matches.select("norm", F.explode(F.filter(F.array(*[F.when(F.col(f"{m}_score").isNotNull(), F.lit(m)) for m in METHODS]), lambda x: x.isNotNull())).alias("method")).distinct()
+    return staged.join(had, ["norm", "method"], "left_anti")
+
+
+def reset(raw: DataFrame, others: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(raw with every item pending and unclassified, the other tables without rows)."""
+    fresh = raw.withColumns({"status": F.lit("PENDING"), "category": F.lit(None).cast("string"), "subcategory": F.lit(None).cast("string")})
+    return fresh, {name: df.limit(0) for name, df in others.items()}
+
+
+def create_as(df: DataFrame, path: str) -> DataFrame:
+    """df as a table under path, in the place of what was there: written beside it and then renamed, so readers never see half of it."""
+    spark = df.sparkSession
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, here = name(f"{path}.new"), name(f"{path}.old"), name(path)
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(new, True)
+    df.write.parquet(f"{path}.new")
+    files.delete(old, True)
+    if files.exists(here):
+        files.rename(here, old)
+    files.rename(new, here)
+    files.delete(old, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def log_step(log: DataFrame, run_id: str, step: str, status: str, at, items: int = 0) -> DataFrame:
     """The log with one more row."""
     return log.unionByName(log.sparkSession.createDataFrame([(run_id, step, status, at, items)], log.schema))

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedup import scratch
+
 ALL = "All"
 SORTABLE = ("ensemble_score", "search_score", "cosine_score", "edit_score", "jaccard_score", "created_at", "item_id", "norm")
 DEFAULT_SORT = "ensemble_score"
@@ -39,7 +41,8 @@ def found(matches: DataFrame, search: Search) -> DataFrame:
     order = [F.col(column).desc_nulls_last() if search.descending else F.col(column).asc_nulls_first(), F.col("item_id")]
     rows = filtered(matches, search).withColumn("duplicates", F.count(F.lit(1)).over(Window.partitionBy("norm")))
     if search.grouped:
-        rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("norm").orderBy(*order))).where("__k = 1").drop("__k")
+        k = scratch("k")
+        rows = rows.withColumn(k, F.row_number().over(Window.partitionBy("norm").orderBy(*order))).where(F.col(k) == 1).drop(k)
     return (rows.where(F.col("level") == search.agreement) if search.agreement else rows).orderBy(*order)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import PRIORITIES, RULES
 from ..functions.text import cosine, edit_score, jaccard_score, normalize_basic, normalize_enhanced
-from ..operators import dedup, ensemble, fast_path, matching, review
+from ..operators import batches, dedup, ensemble, fast_path, matching, review, search, settings
 from ..sources.fixtures import Tables, V
 from ..streaming import incremental
 from .views import _LEVEL, DERIVED, NORM, TOLD, VIEWS
@@ -190,12 +189,33 @@ def route_items(t):
     return t["routes"].withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query(f"""SELECT r.item_id, coalesce(m.search_score, l.score) AS search_score FROM (SELECT item_id, {NORM} AS norm FROM {{raw}}) AS r LEFT JOIN {{matches}} m ON m.item_id = r.item_id LEFT JOIN (SELECT norm, max(jaccard_score) AS score FROM (SELECT x.jaccard_score, {NORM} AS norm FROM {{matches}} x JOIN {{raw}} y ON y.item_id = x.item_id) AS z GROUP BY norm) AS l ON l.norm = r.norm""")
-def fanout_scores(t):
-    """Scores of a description go to all of its items, and only where an item has none."""
+_FOUR = batches.METHODS
+_LATEST = "SELECT norm, method, std_id, score FROM (SELECT *, row_number() OVER (PARTITION BY norm, method ORDER BY staged_at DESC, seq DESC) AS k FROM {staged}) AS z WHERE k = 1"
+_WITH_NORM = f"(SELECT m.*, r.norm FROM {{matches}} m JOIN (SELECT item_id, {NORM} AS norm FROM {{raw}}) AS r ON r.item_id = m.item_id)"
+_FANNED = "SELECT m.item_id, m.norm, " + ", ".join(f"CASE WHEN m.{k}_score IS NULL AND {k[0]}.norm IS NOT NULL THEN {k[0]}.std_id ELSE m.{k}_id END AS {k}_id, coalesce(m.{k}_score, {k[0]}.score) AS {k}_score, m.{k}_score IS NULL AND {k[0]}.norm IS NOT NULL AS {k}_merged" for k in _FOUR) + f" FROM {_WITH_NORM} AS m " + " ".join(f"LEFT JOIN (SELECT * FROM ({_LATEST}) AS l WHERE method = '{k}') AS {k[0]} ON {k[0]}.norm = m.norm" for k in _FOUR)
+
+
+def _fanned(t):
     raw = t["raw"].select("item_id", normalize_basic(F.col("raw_description")).alias("norm"))
-    latest = t["matches"].join(raw, "item_id").groupBy("norm").agg(F.max("jaccard_score").alias("score"))
-    return raw.join(t["matches"].select("item_id", "search_score"), "item_id", "left").join(latest, "norm", "left").select("item_id", F.coalesce("search_score", "score").alias("search_score"))
+    own = t["matches"].select("item_id", *[f"{k}_{c}" for k in _FOUR for c in ("id", "score")]).join(raw, "item_id")
+    return batches.fan_out(own, t["staged"])
+
+
+@query(f"SELECT item_id, {', '.join(f'{k}_id, {k}_score' for k in _FOUR)} FROM ({_FANNED}) AS f")
+def fanout_scores(t):
+    """The latest staged result of a description goes to all of its items, by method, and only where an item has none."""
+    return _fanned(t).select("item_id", *[f"{k}_{c}" for k in _FOUR for c in ("id", "score")])
+
+
+@query(f"SELECT {', '.join(f'(count(*) FILTER ({k}_merged))::bigint AS {k}_merged' for k in _FOUR)}, count(*) FILTER ({' OR '.join(f'{k}_merged' for k in _FOUR)}) AS items FROM ({_FANNED}) AS f")
+def fanout_counts(t):
+    merged = [F.col(f"{k}_merged") for k in _FOUR]
+    return _fanned(t).agg(*[F.count_if(m).alias(f"{k}_merged") for k, m in zip(_FOUR, merged, strict=True)], F.count_if(merged[0] | merged[1] | merged[2] | merged[3]).alias("items"))
+
+
+@query(f"SELECT s.norm, s.method, s.seq FROM {{staged}} s WHERE NOT EXISTS (SELECT 1 FROM ({_FANNED}) AS f WHERE f.norm = s.norm AND (" + " OR ".join(f"s.method = '{k}' AND f.{k}_score IS NOT NULL" for k in _FOUR) + "))")
+def staging_left(t):
+    return batches.left_over(t["staged"], _fanned(t)).select("norm", "method", "seq")
 
 
 def _review_input(t):
@@ -204,8 +224,7 @@ def _review_input(t):
 
 
 def _reviews(t):
-    action = F.element_at(F.array(*map(F.lit, (*review.ACTIONS, "OTHER"))), (F.col("item_id") % 6).cast("int") + 1)
-    return t["matches"].where("item_id % 37 = 0").select(F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("X"), "match_id")).otherwise(F.col("match_id")).alias("match_id"), action.alias("action"), F.lit(None).cast("string").alias("std_id"))
+    return t["reviews"].withColumn("std_id", F.lit(None).cast("string"))
 
 
 def _review_sql(bulk: bool) -> str:
@@ -216,7 +235,7 @@ def _review_sql(bulk: bool) -> str:
     FROM (SELECT o.*, coalesce(o.action IN ('CONFIRM', 'CHANGE', 'THUMBS_UP'), false) AS yes, coalesce(o.action = 'REJECT', false) AS no, d.sibling_yes, d.sibling_id,
             o.action IS NULL AND d.norm IS NOT NULL AND o.raw_status IN ('PENDING', 'MATCHED', 'PENDING_REVIEW') AND o.status NOT IN ('USER_CONFIRMED', 'USER_REJECTED') AS spread
         FROM own o LEFT JOIN (SELECT norm, action <> 'REJECT' AS sibling_yes, suggested_id AS sibling_id FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY match_id DESC) AS k FROM own WHERE action IN ('CONFIRM', 'CHANGE', 'THUMBS_UP', 'REJECT')) AS z WHERE k = 1) AS d ON d.norm = o.norm) AS x""".replace(
-        "own ", f"(SELECT m.match_id, m.item_id, m.status, m.suggested_id, m.confirmed_id, r.norm, r.raw_status, v.action FROM {{m}} m JOIN (SELECT item_id, {NORM} AS norm, status AS raw_status FROM {{raw}}) AS r ON r.item_id = m.item_id LEFT JOIN (SELECT match_id, action FROM (SELECT CASE WHEN item_id % 2 = 1 THEN concat('X', match_id) ELSE match_id END AS match_id, (['CONFIRM', 'CHANGE', 'THUMBS_UP', 'REJECT', 'THUMBS_DOWN', 'OTHER'])[item_id % 6 + 1] AS action FROM {{matches}} WHERE item_id % 37 = 0) AS w WHERE action IN {allowed}) AS v ON v.match_id = m.match_id) ")
+        "own ", f"(SELECT m.match_id, m.item_id, m.status, m.suggested_id, m.confirmed_id, r.norm, r.raw_status, v.action FROM {{m}} m JOIN (SELECT item_id, {NORM} AS norm, status AS raw_status FROM {{raw}}) AS r ON r.item_id = m.item_id LEFT JOIN (SELECT match_id, action FROM {{reviews}} WHERE action IN {allowed}) AS v ON v.match_id = m.match_id) ")
 
 
 @query(_review_sql(False))
@@ -253,6 +272,146 @@ def merge_insert_only(t):
     return dedup.upsert(*_sides(t), "norm")
 
 
+_CACHE = "(SELECT norm, cast(std_id AS VC) AS std_id, score, 1::bigint AS confirmations FROM {confirmed})".replace("VC", V)
+_SAID = f"""(SELECT norm, std_id, score, n FROM (SELECT r.norm, m.suggested_id AS std_id, m.ensemble_score AS score, count(*) OVER (PARTITION BY r.norm) AS n, row_number() OVER (PARTITION BY r.norm ORDER BY m.match_id DESC) AS k
+    FROM {{m}} m JOIN (SELECT item_id, {NORM} AS norm FROM {{raw}}) AS r ON r.item_id = m.item_id WHERE m.suggested_id IS NOT NULL AND m.match_id IN (SELECT match_id FROM {{reviews}} WHERE action IN ('CONFIRM', 'CHANGE', 'THUMBS_UP'))) AS z WHERE k = 1)"""
+
+
+@query(f"SELECT coalesce(s.norm, c.norm) AS norm, CASE WHEN s.norm IS NULL THEN c.std_id ELSE s.std_id END AS std_id, CASE WHEN s.norm IS NULL THEN c.score ELSE s.score END AS score, coalesce(c.confirmations, 0) + coalesce(s.n, 0) AS confirmations FROM {_CACHE} AS c FULL JOIN {_SAID} AS s ON s.norm = c.norm")
+def cache_upsert(t):
+    """Confirmed descriptions enter the cache of the fast path, or count once more in it."""
+    cache = t["confirmed"].select("norm", F.col("std_id").cast("string").alias("std_id"), "score", F.lit(1).cast("long").alias("confirmations"))
+    raw = t["raw"].select("item_id", normalize_basic(F.col("raw_description")).alias("norm"))
+    return review.remember(cache, t["m"].join(raw, "item_id"), _reviews(t))
+
+
+@query("SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM {matches} m WHERE m.match_id = r.match_id) THEN 'MATCH_NOT_FOUND' WHEN r.action IN ('CONFIRM', 'REJECT') THEN 'VALID' ELSE 'INVALID_ACTION' END AS outcome, count(*) AS n FROM {reviews} r GROUP BY 1")
+def review_outcomes(t):
+    return review.outcomes(_reviews(t), t["matches"], bulk=True)
+
+
+@query("SELECT config_key, CASE config_key WHEN 'BATCH_SIZE' THEN '200' ELSE config_value END AS config_value FROM {config} UNION ALL SELECT 'SEARCH_BATCH_SIZE', '100'")
+def config_upsert(t):
+    return settings.put(t["config"], t.spark.createDataFrame([("BATCH_SIZE", "200"), ("SEARCH_BATCH_SIZE", "100")], "config_key string, config_value string"))
+
+
+_OWN = "SELECT item_id, search_id AS std_id, 'search' AS method, search_score AS score FROM {matches} WHERE search_id IS NOT NULL"
+_NEXT = "SELECT item_id, std_id, min(struct_pack(method := method, score := score)) AS r FROM (" + " UNION ALL ".join(f"SELECT item_id, {k}_id AS std_id, '{k}' AS method, {k}_score AS score FROM {{matches}} WHERE {k}_id IS NOT NULL" for k in ("cosine", "edit")) + ") AS z GROUP BY item_id, std_id"
+
+
+@query(f"{_OWN} UNION ALL SELECT n.item_id, n.std_id, n.r.method, n.r.score FROM ({_NEXT}) AS n WHERE NOT EXISTS (SELECT 1 FROM {{matches}} m WHERE m.item_id = n.item_id AND m.search_id = n.std_id)")
+def candidates_merge(t):
+    """Candidates by item and catalog row, whatever method found them first."""
+    rows = lambda k: t["matches"].where(F.col(f"{k}_id").isNotNull()).select("item_id", F.col(f"{k}_id").alias("std_id"), F.lit(k).alias("method"), F.col(f"{k}_score").alias("score"))
+    return dedup.add_missing(rows("search"), rows("cosine").unionByName(rows("edit")), ["item_id", "std_id"])
+
+
+@query("SELECT r.item_id, CASE WHEN c.norm IS NOT NULL AND r.status = 'PENDING' THEN 'AUTO_ACCEPTED' ELSE r.status END AS status FROM (SELECT item_id, status, NORM AS norm FROM {raw}) AS r LEFT JOIN (SELECT norm FROM {confirmed} WHERE score >= 0.8E0) AS c ON c.norm = r.norm".replace("NORM AS", f"{NORM} AS"))
+def update_from_join(t):
+    """Pending items of which the description is confirmed are accepted."""
+    raw = t["raw"].select("item_id", "status", normalize_basic(F.col("raw_description")).alias("norm"))
+    done = dedup.update_from(raw, t["confirmed"].select("norm", "score", "std_id"), "norm", {"status": F.lit("AUTO_ACCEPTED")}, F.col("score"), (F.col("t.status") == "PENDING") & (F.col("s.score") >= 0.8))
+    return done.select("item_id", "status")
+
+
+@query("SELECT task, max(status) AS status, max(seconds) AS seconds FROM (SELECT task, 'FAILED' AS status, max(seconds) AS seconds FROM {tasks} WHERE status = 'FAILED' GROUP BY task UNION ALL SELECT task, 'A' AS status, 0 AS seconds FROM {tasks} GROUP BY task) AS z GROUP BY task")
+def update_else_insert(t):
+    """The state of each task: changed where there is one, added where not."""
+    every, failed = t["tasks"], t["tasks"].where("status = 'FAILED'")
+    state = every.select("task").distinct().withColumns({"status": F.lit("A"), "seconds": F.lit(0).cast("long")})
+    return dedup.upsert(state, failed.groupBy("task").agg(F.lit("FAILED").alias("status"), F.max("seconds").alias("seconds")), "task", {"status": F.col("s.status"), "seconds": F.col("s.seconds")})
+
+
+@query("SELECT item_id, 'PENDING' AS status, cast(NULL AS VC) AS category, raw_description FROM {raw}".replace("VC", V))
+def reset_items(t):
+    fresh, others = batches.reset(t["raw"], {"matches": t["matches"], "confirmed": t["confirmed"]})
+    left = others["matches"].select("item_id", "status", F.lit(None).cast("string").alias("category"), F.lit("").alias("raw_description"))
+    return fresh.select("item_id", "status", "category", "raw_description").unionByName(left)
+
+
+@query("SELECT category, count(*) AS n FROM {raw} GROUP BY category UNION ALL SELECT 'second', 1")
+def create_table_as(t):
+    """A table is made from a query, and then swapped for another one of the same name."""
+    path = f"{_folder(t.spark)}/table"
+    batches.create_as(t["raw"].groupBy("category").agg(F.count(F.lit(1)).alias("n")).unionByName(t.spark.createDataFrame([("first", 1)], "category string, n long")), path)
+    second = t["raw"].groupBy("category").agg(F.count(F.lit(1)).alias("n")).unionByName(t.spark.createDataFrame([("second", 1)], "category string, n long"))
+    return batches.create_as(second, path)
+
+
+@query("SELECT run_id, method, count(*) AS done, round(100.0E0 * count(*) / max(total), 1) AS progress, CASE WHEN count(*) = max(total) THEN 'COMPLETED' ELSE 'RUNNING' END AS status FROM (SELECT r.*, x.total FROM {results} r CROSS JOIN (SELECT count(*) AS total FROM {tests}) AS x WHERE r.run_no = 1 OR r.difficulty <> 'HARD') AS z GROUP BY run_id, method")
+def job_tracking(t):
+    """Progress of test runs: their results so far of all tests."""
+    total = t["tests"].agg(F.count(F.lit(1)).alias("total"))
+    so_far = t["results"].where("run_no = 1 OR difficulty <> 'HARD'").groupBy("run_id", "method").agg(F.count(F.lit(1)).alias("done")).crossJoin(F.broadcast(total))
+    return so_far.select("run_id", "method", "done", F.round(100.0 * F.col("done") / F.col("total"), 1).alias("progress"), F.when(F.col("done") == F.col("total"), "COMPLETED").otherwise("RUNNING").alias("status"))
+
+
+_BATCH = f"""(SELECT norm FROM (SELECT norm, min(created_at) AS oldest, max(CASE WHEN k = 1 THEN category END) AS category FROM (SELECT {NORM} AS norm, category, created_at, row_number() OVER (PARTITION BY {NORM} ORDER BY item_id) AS k FROM {{raw}} WHERE status = 'PENDING' AND item_id IN (SELECT seq FROM {{staged}})) AS y GROUP BY norm) AS z
+    WHERE category IS NOT NULL AND upper(trim(category)) NOT IN ('UNKNOWN', 'NULL', 'NONE', '') ORDER BY oldest, norm LIMIT 100)"""
+
+
+def _prepared(t):
+    arrived = t["staged"].select(F.col("seq").alias("item_id")).distinct()
+    return batches.prepare(t["raw"], arrived, t["batches"].select("batch_id", "status"), "B_NEW", 100)
+
+
+@query(f"SELECT * FROM {_BATCH} AS b")
+def batch_prepare(t):
+    """The oldest staged descriptions make a batch."""
+    return _prepared(t)[0].select("norm")
+
+
+@query("SELECT batch_id, CASE status WHEN 'ACTIVE' THEN 'COMPLETED' ELSE status END AS status FROM {batches} UNION ALL SELECT 'B_NEW', 'ACTIVE'")
+def batch_states(t):
+    return _prepared(t)[1]
+
+
+_LISTED = f"(SELECT e.item_id, {NORM} AS norm, e.raw_description, e.source_system, e.category, e.effective, e.created_at, e.ensemble_score, {_LEVEL} AS level FROM {{eff}} e)"
+
+
+def _listed(t):
+    ids = [F.col(f"{k}_id") for k in ensemble.METHODS]
+    return t["eff"].select("item_id", normalize_basic(F.col("raw_description")).alias("norm"), "raw_description", "source_system", "category", "effective", "created_at", "ensemble_score", ensemble.agreement_level(ids).alias("level"))
+
+
+_SHOW = ["item_id", "norm", "duplicates", "ensemble_score", "level"]
+
+
+def _search_sql(where: str, grouped: bool, order: str, size: int, page: str, more: str = "true") -> str:
+    cut = "WHERE g = 1" if grouped else ""
+    return f"""SELECT {', '.join(_SHOW)} FROM (SELECT *, row_number() OVER (ORDER BY {order}, item_id) AS k, count(*) OVER () AS total FROM (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY norm) AS duplicates, row_number() OVER (PARTITION BY norm ORDER BY {order}, item_id) AS g FROM {_LISTED} AS l WHERE {where}) AS x {cut}) AS y WHERE {more}) AS z
+        WHERE k > (least({page}, ceil(total / {size}.0E0)) - 1) * {size} AND k <= least({page}, ceil(total / {size}.0E0)) * {size}"""
+
+
+def _paged(t, s: search.Search) -> DataFrame:
+    return search.page_of(search.found(_listed(t), s), s.page, s.size)[0].select(*_SHOW)
+
+
+@query(_search_sql("effective = 'PENDING_REVIEW' AND source_system = 'SRC_1'", True, "ensemble_score DESC NULLS LAST", 25, "2", "level = 2"))
+def review_list(t):
+    """Open items of a source, one of each description, of which two methods agree: the second page."""
+    return _paged(t, search.Search({"effective": "PENDING_REVIEW", "source_system": "SRC_1", "category": "All"}, agreement=2, page=2))
+
+
+@query(_search_sql("raw_description ILIKE '%oz%'", False, "created_at NULLS FIRST", 50, "1000000"))
+def search_flat(t):
+    """Items by a part of their text, oldest first: a page beyond the last is the last."""
+    return _paged(t, search.Search({"effective": None}, text="oz", sort_by="created_at", descending=False, grouped=False, page=1_000_000, size=50))
+
+
+@query(_search_sql("true", True, "ensemble_score DESC NULLS LAST", 25, "1"))
+def search_bad_sort(t):
+    """A sort column that is not among the allowed ones falls back to the default, and page 0 is the first."""
+    return _paged(t, search.Search(sort_by="1; DROP TABLE x", page=0))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, timestampdiff(DAY, date_trunc('day', ts), date_trunc('day', (SELECT max(ts) FROM {events}))) AS days FROM {events}")
+def json_fields(t):
+    """A path out of JSON text, and days by their boundaries."""
+    last = F.broadcast(t["events"].agg(F.max("ts").alias("last")))
+    return t["events"].crossJoin(last).select("event_id", F.get_json_object("props", "$.k").alias("k"), F.datediff("last", "ts").cast("long").alias("days"))
+
+
 @query("SELECT item_id, CASE WHEN item_id IN (SELECT item_id FROM {raw} WHERE source_system = 'SRC_2') THEN 'TOUCHED' ELSE status END AS status FROM {matches}")
 def update_where_in(t):
     return dedup.update_where(t["matches"].select("item_id", "status"), t["raw"].where("source_system = 'SRC_2'"), "item_id", {"status": F.lit("TOUCHED")})
@@ -310,7 +469,7 @@ def accuracy_jaccard(t):
 
 def _found(t):
     one = _tests(t).select(F.col("test_id").cast("string").alias("id"), "norm", F.lit(1).alias("all"))
-    hits = matching.search_pairs(one.select(F.concat("norm", F.lit(" "), F.lit("")).alias("norm"), "all").distinct().select(F.trim("norm").alias("norm"), "all"), t["std"].withColumn("all", F.lit(1)), "all")
+    hits = matching.search_pairs(one.select("norm", "all").distinct(), t["std"].withColumn("all", F.lit(1)), "all")
     return _tests(t).select("test_id", "norm").join(hits, "norm").select("test_id", "std_id", "score")
 
 
@@ -337,8 +496,12 @@ def accuracy_cosine(t):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tallyweave-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _event_files(t) -> tuple[str, DataFrame]:
@@ -371,7 +534,11 @@ def stream_counts(t):
     return t.spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/counts").groupBy("event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query()
+_NEAR = _top(_search("{items}", "norm", True), "norm", 1)
+
+
+@query(f"""SELECT i.norm, n.std_id AS cosine_id, coalesce(n.score, 0.0E0) * 2 - 1 AS cosine_score, e.std_id AS edit_id, e.score AS edit_score, CASE WHEN n.std_id = e.std_id OR coalesce(n.score, 0.0E0) * 2 - 1 >= e.score THEN n.std_id ELSE e.std_id END AS std_id, greatest(coalesce(n.score, 0.0E0) * 2 - 1, e.score) AS score
+    FROM {{items}} i LEFT JOIN ({_NEAR}) AS n ON n.norm = i.norm JOIN ({ORACLE['edit_top1']}) AS e ON e.norm = i.norm""")
 def stream_match(t):
     """Items arrive in files and are matched by cosine (of token counts) and edit distance as they come.
 

@@ -121,7 +121,7 @@ VIEWS: dict[str, str] = {
     "filter_options": "SELECT DISTINCT 'source' AS kind, source_system AS value FROM {raw} UNION ALL SELECT DISTINCT 'category', category FROM {raw} WHERE category IS NOT NULL UNION ALL SELECT DISTINCT 'status', status FROM {raw}",
     "latency_summary": "SELECT x.*, CASE WHEN total_seconds < 60 THEN concat(cast(total_seconds AS " + V + "), 's') WHEN total_seconds < 3600 THEN concat(cast(cast(round(total_seconds / 60.0E0, 1) AS decimal(9, 1)) AS " + V + "), 'm') ELSE concat(cast(cast(round(total_seconds / 3600.0E0, 1) AS decimal(9, 1)) AS " + V + "), 'h') END AS latency, CASE WHEN failed = 0 THEN 'SUCCESS' ELSE 'PARTIAL_FAILURE' END AS run_status FROM (SELECT date_trunc('minute', ts) AS minute, min(ts) AS started, max(ended) AS ended, " + _seconds("min(ts)", "max(ended)") + " AS total_seconds, " + ", ".join(f"sum(CASE WHEN task = '{t}' THEN seconds ELSE 0 END)::bigint AS {k}_seconds" for t, k in TASKS.items()) + ", count(DISTINCT event_id) AS n_tasks, sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END)::bigint AS failed FROM {tasks} WHERE status IN ('COMPLETED', 'FAILED') GROUP BY 1) AS x",
     "latency_met": "SELECT count(*) AS n_runs, round(avg(seconds), 6) AS mean_seconds, sum(CASE WHEN seconds <= 300 THEN 1 ELSE 0 END)::bigint AS met FROM (SELECT run_id, " + _seconds("min(ts)", "max(ended)") + " AS seconds, max(ended) AS last FROM {tasks} GROUP BY run_id ORDER BY last DESC, run_id LIMIT 10) AS x",
-    "methods_tested": "SELECT run_id, listagg(DISTINCT method, ', ') WITHIN GROUP (ORDER BY method) AS methods, count(DISTINCT test_id) AS n_tests, count(*) AS n_results FROM {results} GROUP BY run_id",
+    "methods_tested": "SELECT run_id, array_join(array_sort(collect_set(method)), ', ') AS methods, count(DISTINCT test_id) AS n_tests, count(*) AS n_results FROM {results} GROUP BY run_id",
     "representative_row": f"SELECT norm, item_id, raw_description FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY item_id) AS k FROM (SELECT item_id, raw_description, {NORM} AS norm FROM {{raw}}) AS y) AS x WHERE k = 1",
     "staging_latest": "SELECT run_id, step, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY run_id, step ORDER BY ts DESC, event_id DESC) AS k FROM {steps}) AS x WHERE k = 1",
     "difficulty_share": "SELECT difficulty, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM {tests} GROUP BY difficulty",
