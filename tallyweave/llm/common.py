@@ -145,9 +145,10 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         return nodes.select("id", F.col("id").alias("component_id"))
     moved = maps[0].select(F.col("u").alias("id"), F.col("to").alias("at")).checkpoint()
     total = moved.count()
+    parts = max(least_parts, -(-total // PART_ROWS))
     for into in maps[1:]:
         met = lookup(moved, ["at"], into.select(F.col("u").alias("at"), "to"), F.xxhash64("id"), total=total)
-        moved = met.select("id", F.coalesce("to", "at").alias("at")).checkpoint()
+        moved = met.select("id", F.coalesce("to", "at").alias("at")).coalesce(parts).checkpoint()
     least = moved.groupBy("at").agg(F.min("id").alias("component_id"))
     named = lookup(moved, ["at"], least, F.xxhash64("id"), total=total).select("id", "component_id")
     return nodes.join(named, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
