@@ -75,3 +75,24 @@ def test_copies_in_the_catalog_are_scored_once(spark, match):
     found = {r["norm"]: r["std_id"] for r in match(items, catalog).collect()}
     assert len(found) == 4000 and all(found[f"RED PIPE {k}"] == k for k in range(50))
     assert time.time() - began < 90
+
+
+def test_columns_are_shared_by_texts_that_begin_alike():
+    """2,400 texts with few beginnings: a column for each prefix instead of each letter, and several texts at once."""
+    texts = [f"{a} {b} LARGE {n}OZ" for a in ("RED", "BLUE", "OLD", "COLD", "HOT", "LARGE") for b in ("PIPE", "RING", "BOLT", "NUT", "PLATE", "VALVE", "DISK", "GEAR") for n in range(50)]
+    tree = Texts(texts)
+    assert sum(len(level[0]) for level in tree.levels) * 5 < sum(map(len, texts))
+    asked = ["RED RING 7 OZ", "", "x" * 70, "BLUE GEAR LARGE 49OZ"]
+    assert tree.of(asked).tolist() == [[distance(x, t) for t in texts] for x in asked]
+
+
+def test_catalog_is_read_once(spark, tmp_path):
+    items, catalog = tables(spark)
+    catalog.write.parquet(f"{tmp_path}/catalog")
+    items.write.parquet(f"{tmp_path}/items")
+    items, catalog = spark.read.parquet(f"{tmp_path}/items"), spark.read.parquet(f"{tmp_path}/catalog")
+    for match in (matching.match_edit, matching.match_jaccard):
+        df = match(items, catalog)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("Scan parquet") == 2, final
