@@ -162,3 +162,13 @@ def test_lowest_rows_are_sorted_by_a_number_first(spark):
         want.setdefault(r["description"], []).append(r["std_id"])
     assert got == {d: set(sorted(v)[:3]) for d, v in want.items()}
     assert "hashpartitioning(hash" in low._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_starts_python_in_few_tasks(spark):
+    items, catalog = tables(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        parts = matching._nearest(items, catalog, [matching.by_tokens(matching.search_by_size, matching.NOTHING)], 1, "category").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert parts == 2 * spark.sparkContext.defaultParallelism
