@@ -172,3 +172,14 @@ def test_search_starts_python_in_few_tasks(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert parts == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_five_lowest_ids_move_once(spark):
+    """The rows that the window left are brought into lists of ids where they are."""
+    items, catalog = tables(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = MATCHES["five"](items, catalog)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning(hash") == 1 and plan.count("description") and "Exchange hashpartitioning(category, description" not in plan
